@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from workload import text_queries  # noqa: F401
+from workload import table_queries, text_queries  # noqa: F401
 from workload.registry import ORACLES, QUERIES  # noqa: F401

@@ -131,24 +131,30 @@ def _render_judge_prompt(s: Source):
 
 
 @query("passes_agree", """
-with p as (select cluster, eval_type, count(*) as n, max(n_rules) - min(n_rules) as spread,
-             max(n_text) as longest, min(n_text) as shortest
-           from (select source_cluster_id * 1000 + n_chars // 40 as cluster, eval_type,
-                   coalesce(len(rubric), 0) as n_rules, length(coalesce(expected_behavior, '')) as n_text
-                 from fx_case_lists) group by all)
-select cast(cluster as bigint) as grp, eval_type, cast(n as bigint) as n_passes,
-       case when n <= 1 then true when eval_type = 'rubric' then spread <= 1
-            when shortest = 0 then false else longest / shortest <= 1.5 end as agreed
+with x as (select vec_id, coalesce(len(rubric), 0) as n_rules, length(coalesce(expected_behavior, '')) as n_text from fx_case_lists),
+p as (select c.case_id, c.eval_type, c.difficulty, list_filter([a.n_rules, x2.n_rules, x3.n_rules], lambda v: v is not null) as r,
+        list_filter([a.n_text, x2.n_text, x3.n_text], lambda v: v is not null) as t
+      from fx_case_lists c join x a on a.vec_id = c.vec_id
+      left join x x2 on x2.vec_id = c.vec_id + 1 and c.difficulty = 'hard'
+      left join x x3 on x3.vec_id = c.vec_id + 2 and c.difficulty = 'hard')
+select case_id, eval_type, len(r) as n_passes,
+       case when len(r) <= 1 then true when eval_type = 'rubric' then list_max(r) - list_min(r) <= 1
+            when list_min(t) = 0 then false else list_max(t) / list_min(t) <= 1.5 end as agreed
 from p""")
 def _passes_agree(s: Source):
-    grouped = (
-        s("fx_case_lists")
-        .withColumn("grp", F.expr("cast(source_cluster_id * 1000 + n_chars div 40 as bigint)"))
-        .groupBy("grp", "eval_type")
-        .agg(F.collect_list(F.struct("expected_behavior", "rubric")).alias("passes"))
+    cases = s("fx_case_lists")
+    answer = F.struct("expected_behavior", "rubric")
+
+    def other(step: int):
+        return cases.select((F.col("vec_id") - step).alias("vec_id"), F.lit("hard").alias("difficulty"), answer.alias(f"p{step}"))
+
+    joined = (
+        cases.select("case_id", "vec_id", "eval_type", "difficulty", answer.alias("p0"))
+        .join(other(1), ["vec_id", "difficulty"], "left").join(other(2), ["vec_id", "difficulty"], "left")
+        .withColumn("passes", F.array_compact(F.array("p0", "p1", "p2")))
     )
-    return grouped.select(
-        "grp", "eval_type", F.size("passes").cast("bigint").alias("n_passes"),
+    return joined.select(
+        "case_id", "eval_type", F.size("passes").cast("bigint").alias("n_passes"),
         text.passes_agree(F.col("passes"), F.col("eval_type")).alias("agreed"),
     )
 
