@@ -43,8 +43,10 @@ def rows_of(columns, rows):
 
 def compare(spark, con, sf_dir: str, name: str) -> tuple[str, int]:
     """``("ok" | what differs, number of rows)``."""
+    start = time.time()
     df = catalog.QUERIES[name](spark, sf_dir)
     columns, rows = rows_of(df.columns, df.collect())
+    compare.spark_seconds = time.time() - start
     if name not in catalog.ORACLES:
         return "rows only", len(rows)
     cursor = con.execute(catalog.ORACLES[name])
@@ -78,7 +80,7 @@ def main() -> int:
         except Exception as error:  # noqa: BLE001 - report and go on
             outcome, n = f"ERROR {type(error).__name__}: {str(error)[:900]}", 0
         bad += outcome not in ("ok", "rows only")
-        print(f"{name:28} {n:8} rows {time.time() - start:6.2f}s  {outcome}", flush=True)
+        print(f"{name:28} {n:8} rows {time.time() - start:6.2f}s  spark {getattr(compare, "spark_seconds", 0):6.2f}s  {outcome}", flush=True)
     return 1 if bad else 0
 
 
