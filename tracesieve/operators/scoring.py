@@ -65,7 +65,7 @@ def coverage_counts(case_vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """
     counted = nearest_centroid(case_vectors, centroids).groupBy("cluster_id").agg(F.count("*").alias("approved"))
     any_case = case_vectors.limit(1).agg(F.count("*")).scalar()
-    return (
+    return cut(
         centroids.select("cluster_id").join(counted, "cluster_id", "left")
         .filter(any_case > 0)
         .select("cluster_id", F.coalesce("approved", F.lit(0)).alias("approved"))
