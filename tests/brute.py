@@ -11,20 +11,21 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> list[froz
     core = np.sort(dist, axis=1)[:, min(min_samples, len(x) - 1)]
     reach = np.maximum(np.maximum(core[:, None], core[None, :]), dist)
 
+    # Prim on the full matrix
+    links, inside = [], np.zeros(len(x), dtype=bool)
+    inside[0], best, start = True, reach[0].copy(), np.zeros(len(x), dtype=int)
+    for _ in range(len(x) - 1):
+        p = int(np.argmin(np.where(inside, np.inf, best)))
+        links.append((best[p], p, int(start[p])))
+        inside[p] = True
+        closer = reach[p] < best
+        best[closer], start[closer] = reach[p][closer], p
+
     def split(points: list[int]) -> tuple[float, list[list[int]]]:
         """The weight at which the set falls apart and its parts below it."""
-        rest, joined = set(points[1:]), [points[0]]
-        best = {p: (reach[points[0], p], points[0]) for p in rest}
-        links = []
-        while rest:
-            p = min(rest, key=lambda q: best[q][0])
-            links.append((best[p][0], p, best[p][1]))
-            rest.remove(p)
-            joined.append(p)
-            for q in rest:
-                if reach[p, q] < best[q][0]:
-                    best[q] = (reach[p, q], p)
-        top = max(w for w, _, _ in links)
+        known = set(points)
+        own = [link for link in links if link[1] in known and link[2] in known]
+        top = max(w for w, _, _ in own)
         root = {p: p for p in points}
 
         def find(p):
@@ -32,7 +33,7 @@ def hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int) -> list[froz
                 p = root[p]
             return p
 
-        for w, a, b in links:
+        for w, a, b in own:
             if w < top:
                 root[find(a)] = find(b)
         parts: dict[int, list[int]] = {}

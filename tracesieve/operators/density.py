@@ -167,8 +167,9 @@ def _close(node: dict, parent: str | None, birth: float) -> tuple[dict, float]:
     return _event("close", node["cluster"], parent, birth, node, keep), own if keep else node["kids"]
 
 
-def _merge(children: list[dict], lam: float, min_size: int, events: list[dict]) -> dict:
-    """Join components at density ``lam``; the rules of the condensed tree."""
+def _merge(children: list[dict], weight: float, min_size: int, events: list[dict]) -> dict:
+    """Join components at a distance; the rules of the condensed tree."""
+    lam = 1.0 / max(weight, FLOOR)
     name = min(c["comp"] for c in children)
     big = [c for c in children if c["cluster"] is not None]
     small = [c for c in children if c["cluster"] is None]
@@ -177,7 +178,7 @@ def _merge(children: list[dict], lam: float, min_size: int, events: list[dict])
     if len(big) == 1:
         joined.update({k: big[0][k] for k in ("cluster", "mass", "held", "kids", "opened")})
     elif len(big) > 1 or total >= min_size:
-        joined.update(cluster=f"{name}@{lam!r}", opened=lam)
+        joined.update(cluster=f"{name}@{float(weight)!r}", opened=lam)
     if joined["cluster"] is None:
         joined["parts"] = [part for c in small for part in c["parts"]]
         return joined
@@ -222,7 +223,7 @@ def _merge_group(nodes: pd.DataFrame, edges: pd.DataFrame, min_size: int) -> pd.
             sets.setdefault(find(old), []).append(state.pop(old))
         for root, children in sets.items():
             state[root] = (
-                _merge(children, 1.0 / max(weight, FLOOR), min_size, events) if len(children) > 1 else children[0]
+                _merge(children, weight, min_size, events) if len(children) > 1 else children[0]
             )
     for root, node in state.items():
         events.append(_event("node", root, None, np.nan, node))
