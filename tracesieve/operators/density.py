@@ -30,6 +30,7 @@ from tracesieve.session import cut
 COUNT_SELF = 0
 BAND = 200_000
 FLOOR = 1e-9
+FEW = 20_000
 
 
 def _fold_copies(rows: DataFrame) -> DataFrame:
@@ -51,8 +52,27 @@ def core_distances(points: DataFrame, min_samples: int) -> DataFrame:
     return points.join(reached, "id")
 
 
+def _contract_few(pointers: pd.DataFrame) -> pd.DataFrame:
+    to = dict(zip(pointers["grp"], pointers["to"]))
+    roots = {}
+    for start in to:
+        path, at = [], start
+        while at not in roots and not (to[to[at]] == at and at < to[at]):
+            path.append(at)
+            at = to[at]
+        root = roots.get(at, at)
+        roots.update(dict.fromkeys([*path, at], root))
+    return pd.DataFrame({"grp": list(roots), "root": list(roots.values())}, dtype=object)
+
+
 def contract(pointers: DataFrame) -> DataFrame:
-    """Roots of ``grp -> to`` pointers whose only cycles are mutual pairs."""
+    """Roots of ``grp -> to`` pointers whose only cycles are mutual pairs.
+
+    Up to ``FEW`` pointers are followed on the driver, more by pointer jumping.
+    """
+    few = pointers.limit(FEW + 1).toPandas()
+    if len(few) <= FEW:
+        return pointers.sparkSession.createDataFrame(_contract_few(few), "grp string, root string")
     back = pointers.select(F.col("grp").alias("to"), F.col("to").alias("back"))
     mutual = (F.col("back") == F.col("grp")) & (F.col("grp") < F.col("to"))
     current = cut(
@@ -276,7 +296,7 @@ def _hierarchy(points: DataFrame, tree: DataFrame, min_size: int, band: int) ->
         placed = placed.unionByName(waiting.join(joins, "comp").select("point", "cluster", "lambda"))
         still = waiting.join(joins.select("comp"), "comp", "left_anti")
         links = links.filter(F.col("w") > high)
-        left_over = links.count()
+        left_over = links.count() if np.isfinite(high) else 0
         if left_over:
             placed, closed = cut(placed), cut(closed)
             waiting = cut(
