@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
+    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+
+    Iterative jobs use it to drop lineage: a lost executor costs a re-read, not
+    a recomputation. A table (rather than ``checkpoint()``) also gives the next
+    step true sizes, column pruning and a small plan; the plan of a checkpoint
+    carries the constraints of all steps before it, which grow with every round.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
