@@ -20,8 +20,8 @@ def unit(x):
 @pytest.fixture(scope="module")
 def points():
     rng = np.random.default_rng(3)
-    groups = [rng.normal(c, s, (45, 3)) for c, s in [(0, 0.3), (2, 0.5), (4, 0.2), (4.8, 0.2)]]
-    return np.concatenate([*groups, rng.uniform(-2, 6, (30, 3))])
+    groups = [rng.normal(c, s, (20, 3)) for c, s in [(0, 0.3), (2, 0.5), (4, 0.2), (4.8, 0.2)]]
+    return np.concatenate([*groups, rng.uniform(-2, 6, (12, 3))])
 
 
 @pytest.fixture(scope="module")
@@ -120,7 +120,7 @@ def clusters_of(rows):
     return {frozenset(c) for c in found.values()}
 
 
-@pytest.mark.parametrize("band,few", [(200_000, 20_000), (12, 5)], ids=["one band", "many bands"])
+@pytest.mark.parametrize("band,few", [(200_000, 20_000), (45, 5)], ids=["one band", "many bands"])
 def test_density_equals_brute_force(spark, points, band, few, monkeypatch):
     monkeypatch.setattr(density, "FEW", few)
     rows = density.density_cluster(frame(spark, points), 5, band=band).collect()
@@ -134,7 +134,7 @@ def test_density_equals_brute_force(spark, points, band, few, monkeypatch):
 
 
 def test_density_with_copies_and_blocks(spark, points, small_blocks):
-    x = np.concatenate([points[::2], points[:20], np.repeat(points[5:6], 12, axis=0), np.repeat(points[100:101], 7, axis=0)])
+    x = np.concatenate([points[::2], points[:10], np.repeat(points[5:6], 12, axis=0), np.repeat(points[50:51], 7, axis=0)])
     rows = density.density_cluster(frame(spark, x).repartition(3), 6, 3).collect()
     assert clusters_of(rows) == set(brute.hdbscan(x, 6, 3))
 
