@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.rules import APPROVE_AT, decide_difficulty, decide_eval_type, route_cases
 from tracesieve.functions.text import stable_id
-from tracesieve.operators.dedup import THRESHOLD, dedup_ordered, dedup_rejections
+from tracesieve.operators.dedup import THRESHOLD, dedup_ordered, dedup_rejections, shadowed
 from tracesieve.operators.modelmap import Model, generate_labels, judge_labels
 from tracesieve.operators.quality import validate_cases
 from tracesieve.schemas import CASE
@@ -67,6 +67,13 @@ def build_cases(
         failed = labelled.filter("error is not null").select("log_id")
         if not fresh.filter("error is not null").limit(1).count():
             break
+    # a failed candidate counts as a duplicate if a near-copy before it was accepted after all
+    dropped = ranked.join(failed.select(F.col("log_id").alias("id")), "id", "left_semi")
+    winners = ranked.join(accepted.select(F.col("log_id").alias("id")), "id", "left_semi")
+    decided = cut(
+        decided.join(dropped.select("id"), "id", "left_anti")
+        .unionByName(shadowed(dropped, winners, existing, threshold))
+    )
     rejected = dedup_rejections(decided, as_of, threshold)
     if labelled is None:
         labelled = _as_cases(typed.limit(0).withColumns({
