@@ -19,7 +19,8 @@ from tracesieve.sources import export, tables
 from tracesieve.streaming import ingest
 from workload.registry import Source, query
 from workload.table_queries import _cases_for_review, as_of
-from workload.vector_queries import _blobs
+from workload.text_queries import DUCK_WEIGHT
+from workload.vector_queries import _DUCK_SCORED, _DUCK_U, _blobs
 
 
 def _scratch(s: Source) -> str:
@@ -266,7 +267,15 @@ def _density_cluster(s: Source):
     return density.density_cluster(_blobs(s)).select("id", F.col("cluster_id").cast("bigint").alias("cluster_id"))
 
 
-@query("rank_candidates")
+_DUCK_BLOB_SCORED = _DUCK_SCORED.replace("fx_emb", "fx_blob_emb").replace(
+    "case l.feature_name when 'meal_planner' then 0.5 when 'customer_support_bot' then 2.0 else 1.0 end", "1.0"
+)
+
+
+@query("rank_candidates", f"""{_DUCK_BLOB_SCORED}
+select v.log_id, v.feature_name, substr(r.prompt, 1, 150) as prompt_preview, cluster_id, 'cluster_' || cluster_id as cluster_label,
+       round(value_score, 3) as value_score, round(failure_signal, 3) as failure_signal, round(novelty, 3) as novelty
+from valued v join fx_records r on r.log_id = v.log_id order by v.value_score desc, v.log_id limit 30""")
 def _rank_candidates(s: Source):
     emb = s("fx_blobs").select("log_id", F.col("v").alias("embedding"))
     cases = s("fx_cases").filter("status = 'approved'").join(s("fx_blobs").select("vec_id", "v"), "vec_id")
@@ -276,7 +285,19 @@ def _rank_candidates(s: Source):
     return s.spark.read.parquet(f"{path}/candidates")
 
 
-@query("write_candidates")
+@query("write_candidates", f"""
+with p as (select log_id as id, cast(embedding as double[]) as v from fx_emb),
+first as (select id, v from p order by {_DUCK_U.format('id')}, id limit 1),
+g as (
+  select 1 as pick, p.id, p.v, list_distance(p.v, f.v) as d, f.id as chosen, f.v as chosen_v from p cross join first f
+  union all
+  select g.pick + 1, g.id, g.v, least(g.d, list_distance(g.v, n.v)), n.id, n.v
+  from g join (select g.pick, g.id, g.v from g order by g.d desc, g.id limit 1) n on n.pick = g.pick
+  where g.pick < 10)
+select distinct 'diversity' as sampler, chosen as log_id from g
+union all select 'random', log_id from (select log_id from fx_logs order by {_DUCK_U.format('log_id')}, log_id limit 10)
+union all select 'failure_biased', log_id from (
+  select log_id from fx_logs order by -ln(greatest({_DUCK_U.format('log_id')}, 1e-12)) / ({DUCK_WEIGHT}), log_id limit 10)""")
 def _write_candidates(s: Source):
     logs = s("fx_records").select("log_id", "feature_name", "prompt")
     named = s("fx_emb").groupBy("cluster_id").agg(F.count("*").alias("size"))
@@ -353,7 +374,26 @@ def _to_label(s: Source):
     })
 
 
-@query("generate_labels")
+_DUCK_LABEL_USER = """
+'System prompt of the assistant:' || chr(10) || t.system_prompt || chr(10) || chr(10) || 'User prompt:' || chr(10) || t.prompt
+|| chr(10) || chr(10) || '(Feature: ' || l.feature_name || ')'"""
+
+
+@query("generate_labels", f"""
+with t as (select *, cast(string_split(substr(log_id, 6), '_')[1] as bigint) as n from fx_turns),
+l as (select cast(substr(log_id, 5) as bigint) as n, feature_name,
+        case when is_safety_edge_case then 'expected_refusal'
+          when feature_name in ('sql_query_generator', 'code_review_assistant') then 'golden_answer' else 'rubric' end as eval_type,
+        is_safety_edge_case or error_status is not null or retry_count > 0 as hard from fx_logs),
+h as (select t.log_id, l.*, {_DUCK_H.format(_DUCK_LABEL_USER)} as h
+      from t join l on l.n = t.n)
+select log_id, eval_type, case when hard then 3 else 1 end as n_passes,
+       case when not hard then true when eval_type = 'rubric' then true else h % 11 <> 0 end as agreed,
+       case when h % 11 <> 0 and eval_type <> 'rubric' then repeat('answers ', cast(1 + h % 5 as bigint)) end as expected_behavior,
+       case when h % 11 <> 0 and eval_type = 'rubric' then
+         cast(to_json(list_transform(range(1 + h % 4), lambda i: 'point ' || i)) as varchar) end as rubric,
+       case when h % 11 = 0 then 'malformed reply' end as error
+from h""")
 def _generate_labels(s: Source):
     labels = modelmap.generate_labels(_to_label(s), stub_model, **_FAST)
     return labels.select("log_id", "eval_type", "n_passes", "agreed", "expected_behavior", F.to_json("rubric").alias("rubric"), "error")
