@@ -279,12 +279,11 @@ def _scored_cluster_label(s: Source):
 
 
 @query("top_candidates", f"""{_DUCK_SCORED}
-select v.log_id, v.feature_name, substr(d.text, 1, 150) as prompt_preview, cluster_id,
+select v.log_id, v.feature_name, substr(r.prompt, 1, 150) as prompt_preview, cluster_id,
        case when cluster_id = -1 then 'noise' else 'cluster_' || cluster_id end as cluster_label,
        round(value_score, 3) as value_score, round(failure_signal, 3) as failure_signal, round(novelty, 3) as novelty
 from valued v join fx_records r on r.log_id = v.log_id
-left join documents d on 'log_' || lpad(cast(d.doc_id as varchar), 12, '0') = v.log_id
-order by valued_order, v.log_id limit 30""".replace("valued_order", "v.value_score desc"))
+order by v.value_score desc, v.log_id limit 30""")
 def _top_candidates(s: Source):
     return scoring.top_candidates(scored(s, "fx_records"), clusters.unnamed_clusters(s("fx_emb")))
 
