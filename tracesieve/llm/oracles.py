@@ -10,11 +10,11 @@ WITH sized AS (
     [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight
   FROM sized GROUP BY source
 ), levels AS (  -- the level if all sources before this one, in order of cap / weight, are clamped
-  SELECT *, (sum(cap) OVER () / 3 - coalesce(sum(cap) OVER before, 0))::DOUBLE
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS k, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))::DOUBLE
       / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
   FROM sources WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), chosen AS (
-  SELECT coalesce(min(level) FILTER (cap >= level * weight), 0) AS level FROM levels
+  SELECT coalesce(arg_min(level, k) FILTER (cap >= level * weight), 0) AS level FROM levels
 ), targets AS (
   SELECT source, source_size, least(cap::DOUBLE, chosen.level * weight) AS target FROM sources, chosen
 ), parts AS (
@@ -49,7 +49,7 @@ WITH texts AS (
 ), repeated AS (
   SELECT r, sum(n)::BIGINT AS lines, sum(n - 1)::BIGINT AS dups FROM lines GROUP BY r
 ), counted AS (
-  SELECT doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, text, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(repeated.dups, 0) AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(repeated.lines, 0) AS n_lines,
     len(regexp_extract_all(text, '[A-Z]')) AS upper_letters, len(regexp_extract_all(text, '[a-z]')) AS lower_letters

@@ -92,7 +92,7 @@ def _order_keys(orders: int):
             bits = np.unpackbits(np.array(column.to_pylist(), np.int64).reshape(-1, WORDS).view(np.uint8), axis=1)
             keys = np.zeros((len(column), orders), np.int64)
             for turn, places in enumerate(chosen):
-                packed = np.packbits(bits[:, places], axis=1)  # the first bit weighs most
+                packed = np.ascontiguousarray(np.packbits(bits[:, places], axis=1))  # the first bit weighs most
                 keys[:, turn] = (packed.view(">u8")[:, 0] >> np.uint64(1)).astype(np.int64)
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * orders, pa.int32()), pa.array(keys.ravel()))
 
