@@ -105,17 +105,22 @@ def mix_sources(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, max_epochs:
     """
     plan = plan_mix(docs, seed, weights, max_epochs)
     name = spare_name(docs, "mix")
-    plan = plan.select(F.struct(*plan.columns).alias("p")).alias("plan")
+    own = spare_name(docs, "plan")
+    plan = plan.select(F.struct(*plan.columns).alias(own)).alias("t")
+
+    def of(field: str) -> Column:
+        return F.col(f"t.{own}.{field}")
+
     u, size = draw(F.col("d.doc_id"), seed), word_count(F.col("d.text"))
     mine = F.struct(u.alias("u"), _id("d.doc_id"), size.alias("size"))
     bin_ = F.floor(u / (2**32 // BINS))
-    inside = F.when(mine < F.col("p.stop"), size).when(mine == F.col("p.stop"), F.col("p.cut")).otherwise(0)
-    extra = F.when(bin_ < F.col("p.bin"), size).when((bin_ == F.col("p.bin")) & (size > 0), inside).otherwise(0)
+    inside = F.when(mine < of("stop"), size).when(mine == of("stop"), of("cut")).otherwise(0)
+    extra = F.when(bin_ < of("bin"), size).when((bin_ == of("bin")) & (size > 0), inside).otherwise(0)
     mixed = F.struct(
-        size.alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"),
-        F.col("p.whole").cast("int").alias("whole"), extra.cast("long").alias("extra"),
+        size.alias("size"), of("source_size").alias("source_size"), of("target").alias("target"),
+        of("whole").cast("int").alias("whole"), extra.cast("long").alias("extra"),
     )
-    joined = docs.alias("d").join(plan, F.expr("d.source <=> plan.p.source"))
+    joined = docs.alias("d").join(plan, F.expr(f"d.source <=> t.{own}.source"))
     return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], mixed.alias(name))
 
 
