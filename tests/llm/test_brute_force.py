@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tracesieve.llm import language, licenses, pieces, private, quality, simhash, toxicity, vectors
+from tracesieve.llm import language, licenses, mixing, pieces, private, quality, simhash, toxicity, vectors
 from tracesieve.llm import textarrays as A
 from tracesieve.llm.common import components, table
 
@@ -101,6 +101,14 @@ def test_license_places(spark, odd):
     assert got[3].labels == "cc-by-nc" and got[6].labels == "mit-notice" and 0.7 <= got[6].score < 1
 
 
+def test_long_documents_are_cut_at_their_word(spark):
+    long = "  " + "wort " * 150_000
+    docs = spark.createDataFrame([(1, long, "a", len(long)), (2, "x y z", "b", 5)], "doc_id long, text string, source string, n_chars long")
+    got = {(r.doc_id, len(r.text.split())) for r in mixing.repeated_documents(docs).collect()}
+    taken = {r.source: r.taken for r in mixing.mix_sources(docs).select("source", (F.col("mix.whole") * F.col("mix.size") + F.col("mix.extra")).alias("taken")).collect()}
+    assert taken == {"a": 150_003 - 9, "b": 9} and got == {(1, 149_994), (2, 3)}
+
+
 def brute_encode(text, key, dropout):
     """One agenda, a heap, for the whole text."""
     v, m = pieces.pieces(), pieces.marked(A.texts(pa.array([text])))

@@ -133,7 +133,7 @@ def repeated_documents(docs: DataFrame, **how) -> DataFrame:
     mixed, size, extra = mix_sources(docs, **how), F.col(f"{name}.size"), F.col(f"{name}.extra")
     times = F.col(f"{name}.whole") + F.when(extra > 0, 1).otherwise(0)
     start = r"^[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){"
-    head = F.regexp_substr("text", F.concat(F.lit(start), (extra - 1).cast("string"), F.lit("}")))
+    head = F.regexp_substr("text", F.concat(F.lit(start), (extra - 1).cast("string"), F.lit("}+")))  # possessive: no recursion
     turn_name = spare_name(mixed, "turn")
     rows = mixed.where((times > 0) & (size > 0)).select("*", F.explode(F.sequence(F.lit(1), times)).alias(turn_name))
     turn = F.col(turn_name)
