@@ -184,7 +184,7 @@ def masked(docs: DataFrame) -> DataFrame:
     )
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     rows = docs.where(may).withColumn(docs_key, F.xxhash64("text"))
-    rows = rows.alias("d").join(merged.alias("s"), F.expr(f"d.doc_id <=> s.doc_id and d.`{docs_key}` = s.h"), "left")
+    rows = rows.alias("d").join(merged.hint("shuffle_hash").alias("s"), F.expr(f"d.doc_id <=> s.doc_id and d.`{docs_key}` = s.h"), "left")
     rows = rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col(f"s.{cuts}").alias(cuts))
     text, all_cuts = F.col("text"), F.col(cuts)
     pieces = F.transform(all_cuts, lambda s, i: F.concat(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesieve.llm.common import components, discard, small_batches, spare_name
+from tracesieve.llm.common import components, discard, small_batches
 from tracesieve.session import cut
 
 WIDTH = 4
@@ -188,9 +188,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without an id stay: nothing shows that they repeat anything.
     """
     groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    keep = cut(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times")))
-    times = spare_name(docs, "times")
-    kept = docs.join(keep.withColumnRenamed("times", times), "doc_id")
-    once = kept.where(F.col(times) == 1).drop(times)
-    more = kept.where(F.col(times) > 1).drop(times).dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    keep = cut(groups.where("doc_id = component_id").select("doc_id").distinct())
+    # one shuffle of the texts by id at every size; repeated rows are dropped within it
+    kept = docs.join(keep.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
