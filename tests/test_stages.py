@@ -54,7 +54,7 @@ def sequential_cases(rows):
             continue
         eval_type = "expected_refusal" if r["safety"] else "golden_answer" if r["feature"] in (
             "sql_query_generator", "code_review_assistant") else "rubric"
-        user = f"System prompt of the assistant:\n{r['system']}\n\nUser prompt:\n{r['prompt']}\n\n(Feature: {r['feature']})"
+        user = f"Feature under test: {r['feature']}\n=== instructions ===\n{r['system']}\n=== request ===\n{r['prompt']}"
         reply = ask(modelmap.LABEL_SYSTEM[eval_type], user).replace("```json\n", "").replace("\n```", "")
         try:
             label = json.loads(reply)

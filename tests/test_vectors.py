@@ -84,12 +84,11 @@ def test_neighbours_equal_the_full_matrix(spark, near_copies, want, block, monke
     assert got == plain(x, ids, want, ord_, grp, core)
 
 
-@pytest.mark.parametrize("prefix", [0, 16, 2048])
-def test_dedup_equals_one_by_one(spark, near_copies, prefix):
+def test_dedup_equals_one_by_one(spark, near_copies):
     score = np.random.default_rng(1).integers(0, 9, len(near_copies)).astype(float)
     order = sorted(range(len(score)), key=lambda i: (-score[i], i))
     want = brute.greedy_dedup(near_copies, order, 0.92)
-    got = dedup.dedup_ordered(frame(spark, near_copies, score), threshold=0.92, prefix=prefix).collect()
+    got = dedup.dedup_ordered(frame(spark, near_copies, score), threshold=0.92).collect()
     assert {int(r.id) for r in got if r.accepted} == want
     assert len(got) == len(near_copies)
     assert all(r.accepted or r.similarity >= 0.92 for r in got)
@@ -97,7 +96,7 @@ def test_dedup_equals_one_by_one(spark, near_copies, prefix):
 
 def test_dedup_in_blocks_with_existing_cases(spark, near_copies, small_blocks):
     existing, fresh = near_copies[:60], near_copies[60:]
-    got = dedup.dedup_ordered(frame(spark, fresh), frame(spark, existing).select("id", "v"), prefix=0).collect()
+    got = dedup.dedup_ordered(frame(spark, fresh), frame(spark, existing).select("id", "v")).collect()
     order = list(range(60, len(near_copies)))
     accepted = set()
     for i in order:

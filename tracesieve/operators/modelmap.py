@@ -96,7 +96,7 @@ def label_clusters(assigned: DataFrame, prompts: DataFrame, model: Model, k: int
     numbered = F.array_join(F.transform("e", lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["p"])), "\n")
     asked = cut(examples.select(
         F.col("cluster_id"), F.lit(CLUSTER_SYSTEM).alias("system"),
-        F.concat(F.lit("Representative prompts from this cluster:\n\n"), numbered).alias("user"),
+        F.concat(F.lit("Prompts near the middle of one group, nearest first:\n\n"), numbered).alias("user"),
     ).withColumn("call_id", prompt_hash("cluster", F.col("system"), F.col("user"), F.lit(1))))
     replies = llm_map(asked, model, "cluster", **options)
     parsed = text.parse_model_json(F.col("reply"), CLUSTER_REPLY, ["label", "description"])
@@ -148,8 +148,8 @@ def generate_labels(candidates: DataFrame, model: Model, guidance: DataFrame | N
             "log_id", "eval_type", F.explode(F.sequence(F.lit(1), F.col("n_passes"))).alias("pass"),
             F.concat(_by_type(LABEL_SYSTEM), F.coalesce("guidance", F.lit(""))).alias("system"),
             F.concat(
-                F.lit("System prompt of the assistant:\n"), F.col("system_prompt"), F.lit("\n\nUser prompt:\n"),
-                F.col("prompt"), F.lit("\n\n(Feature: "), F.col("feature_name"), F.lit(")"),
+                F.lit("Feature under test: "), F.col("feature_name"), F.lit("\n=== instructions ===\n"), F.col("system_prompt"),
+                F.lit("\n=== request ===\n"), F.col("prompt"),
             ).alias("user"),
         ).withColumn("call_id", prompt_hash("label", F.col("system"), F.col("user"), F.col("pass")))
     )

@@ -19,7 +19,7 @@ def _broken(rule: Column, reason: str) -> Column:
 
 
 def _blank(name: str) -> Column:
-    return F.coalesce(F.length(F.regexp_replace(name, r"(?U)\s+", "")), F.lit(0)) == 0
+    return ~F.coalesce(F.col(name).rlike(r"(?U)\S"), F.lit(False))
 
 
 def log_errors() -> Column:

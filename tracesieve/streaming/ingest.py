@@ -25,9 +25,11 @@ def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str,
     checked = rows.withColumn("errors", log_errors())
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # parsed once for both folders
         for suffix, part in (("", batch.filter(F.size("errors") == 0).drop("errors")),
                              ("_invalid", batch.filter(F.size("errors") > 0))):
             part.write.mode("overwrite").parquet(f"{table}{suffix}/batch_id={batch_id}")
+        batch.unpersist()
 
     return (
         checked.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -375,8 +375,8 @@ def _to_label(s: Source):
 
 
 _DUCK_LABEL_USER = """
-'System prompt of the assistant:' || chr(10) || t.system_prompt || chr(10) || chr(10) || 'User prompt:' || chr(10) || t.prompt
-|| chr(10) || chr(10) || '(Feature: ' || l.feature_name || ')'"""
+'Feature under test: ' || l.feature_name || chr(10) || '=== instructions ===' || chr(10) || t.system_prompt
+|| chr(10) || '=== request ===' || chr(10) || t.prompt"""
 
 
 @query("generate_labels", f"""

@@ -291,8 +291,8 @@ c as (select eval_type, string_agg('''' || field_changed || ''' (' || n || ' edi
       from (select eval_type, field_changed, count(*) as n from u group by all) group by eval_type),
 e as (select eval_type, string_agg('- Before: ' || substr(before_value, 1, 200) || chr(10) || '  After:  ' || substr(after_value, 1, 200), chr(10) order by rn desc) as ex
       from (select *, row_number() over (partition by eval_type order by edit_ts desc, edit_id desc) as rn from u) where rn <= 2 group by eval_type)
-select eval_type, chr(10) || chr(10) || 'Reviewers of this eval_type most often corrected ' || counts
-  || '. Write at the level of the ''After'' versions of their latest corrections:' || chr(10) || ex as guidance
+select eval_type, chr(10) || chr(10) || 'Fields that people fix by hand here: ' || counts
+  || '. Aim for texts that need none of these edits, such as:' || chr(10) || ex as guidance
 from c join e using (eval_type)""")
 def _review_guidance(s: Source):
     return review.review_guidance(s("fx_edits"))
