@@ -77,6 +77,22 @@ def test_stream_resumes_and_replaces(spark, source, tmp_path):
     assert ingest.read_ingested(spark, str(tmp_path / "compact")).count() == n
 
 
+def test_stream_keeps_unreadable_lines_and_masks_by_default(spark, tmp_path):
+    good = {f.name: None for f in LOG.fields} | {
+        "log_id": "l1", "feature_name": "f", "model": "m", "system_prompt": "s", "prompt": "mail ann@site.org", "response": "r",
+        "latency_ms": 1, "prompt_tokens": 1, "completion_tokens": 1,
+    }
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([json.dumps(good), "{broken bob@site.org", json.dumps(good | {"log_id": "l2", "latency_ms": -1})]))
+    places = [str(tmp_path / x) for x in ("in", "logs", "ckpt")]
+    ingest.ingest_stream(spark, *places).awaitTermination()
+    rows = ingest.read_ingested(spark, places[1]).collect()
+    assert [r.log_id for r in rows] == ["l1"] and "ann@" not in rows[0].prompt
+    bad = {r.log_id: r for r in spark.read.parquet(places[1] + "_invalid").collect()}
+    assert bad[None].line.startswith("{broken ") and "bob@" not in bad[None].line and bad[None].errors == ["unreadable line"]
+    assert bad["l2"].line is None and len(bad) == 2
+
+
 def test_old_layout_gains_columns(spark):
     old = spark.createDataFrame([("c1", "draft")], "case_id string, status string")
     assert tables.add_missing_columns(old, CASE).columns == [f.name for f in CASE.fields]

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracesieve.functions.text import parse_model_json
 from tracesieve.operators import modelmap, quality, review, runs
 from tracesieve.plans import cases as building
 from tracesieve.plans import evaluation
+from tracesieve.schemas import CLUSTER_REPLY
 from workload.stage_queries import _case_table, _digest, stub_model
 from workload.table_queries import as_of
 
@@ -42,6 +44,23 @@ def test_answered_rows_are_not_asked_again(spark):
     assert {second[f"q{i}"] for i in (1, 3, 5, 7, 9)} == {"ok"} and {second[f"q{i}"] for i in (0, 2, 4, 6, 8)} == {"late"}
 
 
+def test_malformed_and_empty_replies_are_asked_again(spark, tmp_path):
+    def model(batch):
+        replies = []
+        for _, user in batch:
+            seen = tmp_path / user.replace(" ", "_")
+            replies.append('{"label": "a", "description": "b"}' if seen.exists() else "" if user.endswith("1") else "no idea")
+            seen.touch()
+        return replies
+
+    def check(reply):
+        return parse_model_json(reply, CLUSTER_REPLY, ["label"])["error"]
+
+    once = modelmap.llm_map(prompts(spark, 6, "once"), lambda batch: ["no idea"] * len(batch), "t", retries=0, check=check)
+    got = modelmap.llm_map(prompts(spark, 6, "once"), model, "t", answered=once, retries=2, check=check)
+    assert got.count() == 6 and got.filter("error is null and reply like '{%'").count() == 6
+
+
 def sequential_cases(rows):
     """The one-by-one loop: dedup, label, judge, accept."""
     def ask(system, user):

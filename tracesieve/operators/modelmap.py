@@ -21,6 +21,7 @@ Model = Callable[[Sequence[tuple[str, str]]], Sequence[str]]
 # Retry pacing.
 MAX_RETRIES, BASE_DELAY, MAX_DELAY, JITTER = 4, 1.0, 20.0, 0.25
 LABEL_PASSES_HARD = 3
+EMPTY = "empty reply"
 
 
 def prompt_hash(stage: str, system: Column, user: Column, attempt: Column) -> Column:
@@ -35,7 +36,7 @@ def _ask(model: Model, prompts: list[tuple[str, str]], retries: int, base_delay:
             replies = list(model(prompts))
             if len(replies) != len(prompts):
                 raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
-            return [(r, None if r and r.strip() else "empty reply") for r in replies]
+            return [(r, None if r and r.strip() else EMPTY) for r in replies]
         except Exception as error:  # noqa: BLE001 - an error becomes a column, not a failed job
             if len(prompts) > 1:
                 return [_ask(model, [p], retries, base_delay)[0] for p in prompts]
@@ -49,21 +50,25 @@ def _ask(model: Model, prompts: list[tuple[str, str]], retries: int, base_delay:
 def llm_map(
     prompts: DataFrame, model: Model, stage: str, answered: DataFrame | None = None,
     partitions: int | None = None, batch: int = 64, retries: int = MAX_RETRIES, base_delay: float = BASE_DELAY,
+    check: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Ask the model once per row: call_id, reply, error.
 
     ``prompts``: call_id, system, user. Rows in ``answered`` (an earlier result
     of the same stage, by call_id) without error are not asked again. The result
     is written to the checkpoint folder, so later steps do not repeat calls.
-    ``partitions`` bounds how many calls run at the same time.
+    ``partitions`` bounds how many calls run at the same time. ``check`` gives what
+    is wrong with a reply (null: nothing). Empty and wrong replies are asked again,
+    up to ``retries`` times; the last reply stays.
     """
+    faulty = F.col("error") == EMPTY
+    if check is not None:
+        faulty = faulty | (F.col("error").isNull() & check(F.col("reply")).isNotNull())
     todo = prompts.select("call_id", "system", "user").dropDuplicates(["call_id"])
     done = None
     if answered is not None:
-        done = answered.filter("error is null").select("call_id", "reply", "error")
+        done = answered.filter(F.col("error").isNull() & ~F.coalesce(faulty, F.lit(False))).select("call_id", "reply", "error")
         todo = todo.join(done.select("call_id"), "call_id", "left_anti")
-    if partitions:
-        todo = todo.repartition(partitions)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,7 +78,17 @@ def llm_map(
                 reply, error = zip(*answers)
                 yield pd.DataFrame({"call_id": part["call_id"].to_list(), "reply": reply, "error": error}, dtype=object)
 
-    fresh = cut(todo.mapInPandas(call, "call_id string, reply string, error string"))
+    def ask(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(partitions) if partitions else rows
+        return cut(rows.mapInPandas(call, "call_id string, reply string, error string"))
+
+    fresh = ask(todo)
+    for _ in range(retries):
+        bad = fresh.filter(faulty).select("call_id")
+        if bad.isEmpty():
+            break
+        again = ask(todo.join(bad, "call_id", "left_semi"))
+        fresh = cut(fresh.join(bad, "call_id", "left_anti").unionByName(again))
     return fresh if done is None else fresh.unionByName(done)
 
 
@@ -98,8 +113,11 @@ def label_clusters(assigned: DataFrame, prompts: DataFrame, model: Model, k: int
         F.col("cluster_id"), F.lit(CLUSTER_SYSTEM).alias("system"),
         F.concat(F.lit("Prompts near the middle of one group, nearest first:\n\n"), numbered).alias("user"),
     ).withColumn("call_id", prompt_hash("cluster", F.col("system"), F.col("user"), F.lit(1))))
-    replies = llm_map(asked, model, "cluster", **options)
-    parsed = text.parse_model_json(F.col("reply"), CLUSTER_REPLY, ["label", "description"])
+    def parse(reply: Column) -> Column:
+        return text.parse_model_json(reply, CLUSTER_REPLY, ["label", "description"])
+
+    replies = llm_map(asked, model, "cluster", check=lambda r: parse(r)["error"], **options)
+    parsed = parse(F.col("reply"))
     named = asked.join(replies, "call_id", "left").select("cluster_id", parsed.alias("r"))
     sizes = cluster_sizes(assigned).filter(F.col("cluster_id") != NOISE)
     return sizes.join(named, "cluster_id", "left").select(
@@ -153,7 +171,7 @@ def generate_labels(candidates: DataFrame, model: Model, guidance: DataFrame | N
             ).alias("user"),
         ).withColumn("call_id", prompt_hash("label", F.col("system"), F.col("user"), F.col("pass")))
     )
-    replies = llm_map(asked, model, "label", **options)
+    replies = llm_map(asked, model, "label", check=lambda r: text.parse_model_json(r, LABEL_REPLY)["error"], **options)
     parsed = text.parse_model_json(F.col("reply"), LABEL_REPLY)
     answers = asked.join(replies, "call_id", "left").select(
         "log_id", "eval_type", "pass", parsed["value"].alias("label"), F.coalesce("error", parsed["error"]).alias("error")
@@ -183,8 +201,11 @@ def judge_labels(labels: DataFrame, model: Model, **options) -> DataFrame:
             F.concat(F.lit("eval_type: "), F.col("eval_type"), F.lit("\n\n"), shown).alias("user"),
         ).withColumn("call_id", prompt_hash("judge", F.col("system"), F.col("user"), F.lit(1)))
     )
-    replies = llm_map(asked, model, "judge", **options)
-    parsed = text.parse_model_json(F.col("reply"), QUALITY_REPLY, ["quality_score"])
+    def parse(reply: Column) -> Column:
+        return text.parse_model_json(reply, QUALITY_REPLY, ["quality_score"])
+
+    replies = llm_map(asked, model, "judge", check=lambda r: parse(r)["error"], **options)
+    parsed = parse(F.col("reply"))
     quality = F.col("r.value.quality_score")
     judged = asked.join(replies, "call_id", "left").select("log_id", F.col("error").alias("call_error"), parsed.alias("r")).select(
         "log_id", quality.alias("quality"),

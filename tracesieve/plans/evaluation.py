@@ -43,8 +43,11 @@ def run_cases(
             ),
         }).withColumn("call_id", prompt_hash(f"verdict:{run_id}", F.col("system"), F.col("user"), F.col("case_id")))
     )
-    verdicts = llm_map(graded.filter("target_error is null"), judge, "verdict", **options)
-    parsed = text.parse_model_json(F.col("reply"), VERDICT_REPLY, ["passed"], fenced=False)
+    def parse(reply: Column) -> Column:
+        return text.parse_model_json(reply, VERDICT_REPLY, ["passed"], fenced=False)
+
+    verdicts = llm_map(graded.filter("target_error is null"), judge, "verdict", check=lambda r: parse(r)["error"], **options)
+    parsed = parse(F.col("reply"))
     judged = graded.join(verdicts, "call_id", "left").withColumn("r", parsed)
     error = F.coalesce("target_error", "error", "r.error")
     return judged.select(

@@ -13,20 +13,28 @@ from tracesieve.schemas import CASE, LIST_FIELDS, LOG
 
 _BAD = "_bad_line"
 
+UNREADABLE = "unreadable line"
+
 
 def read_logs_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Valid log rows, and bad lines with ``errors``: unreadable, or breaking a rule.
 
     Lines are split and parsed on executors; blank lines are skipped.
     """
-    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    parsed = parsed_lines(spark.read.text(path))
+    rows = parsed.filter("readable").select("value", "r.*")
+    valid, invalid = validate_logs(with_defaults(rows))
+    unreadable = parsed.filter("not readable").select("value", F.array(F.lit(UNREADABLE)).alias("errors"))
+    return valid.drop("value"), unreadable.unionByName(invalid.select("value", "errors"))
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """``value`` (the line), ``r`` (its log record) and ``readable``; blank lines are skipped."""
+    lines = lines.filter(F.length(F.trim("value")) > 0)
     schema = T.StructType(LOG.fields + [T.StructField(_BAD, T.StringType(), True)])
     parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
     readable = F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull()
-    rows = parsed.filter(readable).select("value", *[F.col(f"r.{f.name}").alias(f.name) for f in LOG.fields])
-    valid, invalid = validate_logs(with_defaults(rows))
-    unreadable = parsed.filter(~readable).select("value", F.array(F.lit("unreadable line")).alias("errors"))
-    return valid.drop("value"), unreadable.unionByName(invalid.select("value", "errors"))
+    return parsed.select("value", F.col("r").dropFields(_BAD).alias("r"), readable.alias("readable"))
 
 
 def with_defaults(logs: DataFrame) -> DataFrame:

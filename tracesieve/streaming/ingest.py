@@ -6,27 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracesieve.functions.text import redact_log_fields
+from tracesieve.functions.text import redact_log_fields, redact_text
 from tracesieve.operators.quality import log_errors
-from tracesieve.schemas import LOG
-from tracesieve.sources.tables import latest_by_key, with_defaults
+from tracesieve.sources.tables import UNREADABLE, latest_by_key, parsed_lines, with_defaults
 
 
-def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str, redact: bool = False) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str, redact: bool = True) -> StreamingQuery:
     """Append new JSONL files of ``source`` to ``table``; start it again to resume.
 
     Each batch overwrites its own ``batch_id`` folder, so a replayed batch
     changes nothing and no batch rewrites the table. Invalid rows go to
-    ``{table}_invalid``. There is no state and no watermark.
+    ``{table}_invalid``; ``line`` there has the text of an unreadable line. Personal
+    data is masked everywhere unless ``redact`` is off. There is no state and no watermark.
     """
-    rows = with_defaults(spark.readStream.schema(LOG).json(source))
+    parsed = parsed_lines(spark.readStream.text(source))
+    line = redact_text(F.col("value")) if redact else F.col("value")
+    rows = with_defaults(parsed.select("r.*", "readable", F.when(~F.col("readable"), line).alias("line")))
     if redact:
         rows = redact_log_fields(rows).drop("matched_types")
-    checked = rows.withColumn("errors", log_errors())
+    errors = F.when(F.col("readable"), log_errors()).otherwise(F.array(F.lit(UNREADABLE)))
+    checked = rows.withColumn("errors", errors).drop("readable")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # parsed once for both folders
-        for suffix, part in (("", batch.filter(F.size("errors") == 0).drop("errors")),
+        for suffix, part in (("", batch.filter(F.size("errors") == 0).drop("errors", "line")),
                              ("_invalid", batch.filter(F.size("errors") > 0))):
             part.write.mode("overwrite").parquet(f"{table}{suffix}/batch_id={batch_id}")
         batch.unpersist()

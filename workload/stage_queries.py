@@ -215,7 +215,7 @@ def _ingest_stream(s: Source):
     stale = logs.withColumn("retry_count", F.lit(0)).filter(F.col("error_status").isNotNull())
     for part in (stale, logs):
         part.write.mode("append").json(f"{path}/in")
-        ingest.ingest_stream(s.spark, f"{path}/in", f"{path}/logs", f"{path}/ckpt").awaitTermination()
+        ingest.ingest_stream(s.spark, f"{path}/in", f"{path}/logs", f"{path}/ckpt", redact=False).awaitTermination()
     return ingest.read_ingested(s.spark, f"{path}/logs").select("log_id", "prompt", "retry_count")
 
 
