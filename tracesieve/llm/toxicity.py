@@ -172,6 +172,24 @@ def fit_vocabulary(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES)
     return sample, np.sort(np.array([r.term for r in best.collect()], np.int64).view(np.uint64))
 
 
+def document_frequency(ids: DataFrame, terms: int) -> np.ndarray:
+    """How many rows of ``ids`` (arrays of different term numbers) have each of the ``terms`` terms.
+
+    A task sends one row per term that it met, however many documents it has read.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=terms)
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met])], names=["id", "n"])
+
+    out = np.zeros(terms)
+    for r in ids.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of ``docs``.
 
@@ -184,9 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Da
     sample, vocabulary = fit_vocabulary(docs, labels, examples)
     found = cut(docs.select("doc_id", term_counts(F.col("text"), vocabulary).alias("t")))
     total = found.count()
-    frequency = np.zeros(len(vocabulary))
-    for r in found.select(F.explode("t.ids").alias("id")).groupBy("id").count().collect():
-        frequency[r["id"]] = r["count"]
+    frequency = document_frequency(found.select("t.ids"), len(vocabulary))
     idf = np.log((1 + total) / (1 + frequency)) + 1
     rows = sample.select("doc_id", "label", term_counts(F.col("text"), vocabulary).alias("t")).collect()
     index = build_index([(r.doc_id, r.label, r.t.ids, r.t.counts) for r in rows], idf)
