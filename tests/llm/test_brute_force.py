@@ -279,3 +279,10 @@ def test_trees_learn_and_fall_back():
     score = quality.fit_trees(x, y).score(x)
     assert ((score > 0.5) == y).mean() > 0.97
     assert quality.fit_trees(x[:0], y[:0]).score(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_document_frequency_counts_rows_over_all_tasks(spark):
+    rows = [[0, 2], [2], [], None, [1, 2]] * 7
+    ids = spark.createDataFrame([(r,) for r in rows], "ids array<int>").repartition(3)
+    assert toxicity.document_frequency(ids, 4).tolist() == [7, 7, 21, 0]
+    assert toxicity.document_frequency(ids.limit(0), 0).tolist() == []
