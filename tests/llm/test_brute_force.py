@@ -286,3 +286,43 @@ def test_document_frequency_counts_rows_over_all_tasks(spark):
     ids = spark.createDataFrame([(r,) for r in rows], "ids array<int>").repartition(3)
     assert toxicity.document_frequency(ids, 4).tolist() == [7, 7, 21, 0]
     assert toxicity.document_frequency(ids.limit(0), 0).tolist() == []
+
+
+def test_toxicity_searches_every_word(spark):
+    rng = np.random.default_rng(6)
+    word = lambda k: "w" + "".join(chr(97 + int(c)) for c in str(k))
+    texts = [f"common {' '.join(word(k) for k in rng.integers(0, 400, 6))}" for _ in range(300)] + ["", "unheard", "solitary common"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for labelled in (15, 300):
+        y = rng.random(labelled) < 0.4
+        labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int")
+        got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
+        sample, vocabulary = toxicity.fit_vocabulary(docs, labels)
+        examples = sorted(r.doc_id for r in sample.collect())
+        words = sorted({w for i in examples for w in texts[i].split()})
+        assert len(vocabulary) == len(words) and (labelled > 20 or len(examples) < 20)
+        count = np.array([[t.split().count(w) for w in words] for t in texts], float)
+        idf = np.log((1 + len(texts)) / (1 + (count > 0).sum(0))) + 1
+        rows = [(i, int(y[i]), np.flatnonzero(count[i]), count[i][count[i] > 0]) for i in examples]
+        x = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * idf * toxicity.association(rows, len(words))
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        cosine = x @ x[examples].T
+        for i in range(len(texts)):
+            want = np.sort(cosine[i])[::-1][:3]
+            assert np.allclose([cosine[i][examples.index(e)] for e in got[i].evidence], want[want > 0])
+        assert len(got[302].evidence) == 3 and got[301].evidence == [] and got[300].evidence == []
+
+
+def test_search_with_rare_and_frequent_terms_is_exact():
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(500):
+        ids = np.unique(np.concatenate([rng.integers(0, 30, 10), rng.integers(30, 3000, 20)]))
+        rows.append((i, int(rng.random() < 0.3), ids, rng.integers(1, 5, len(ids))))
+    index = toxicity.build_index(rows, rng.random(3000) + 1)
+    assert 0 < (index.column >= 0).sum() < 100 and len(index.places) > 5000
+    every = index.vectors([(rows[i][2], rows[i][3]) for i in index.ids])
+    cosine, place = index.nearest(index.vectors([(r[2], r[3]) for r in rows[:150]]), 10)
+    full = index.vectors([(r[2], r[3]) for r in rows[:150]]) @ every.T
+    want = np.lexsort((np.broadcast_to(np.arange(500), full.shape), -full.round(12)), axis=1)[:, :10]
+    assert (place == want).all() and np.allclose(cosine, np.take_along_axis(full, want, 1))
