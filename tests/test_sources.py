@@ -59,6 +59,20 @@ def test_export_versions_and_changelog(spark, source, tmp_path):
     assert note.startswith("## v1 ") and f"- added ({first.total}): case_" in note and note.endswith("- initial export")
 
 
+def test_export_keeps_every_changed_id(spark, source, tmp_path):
+    path, one = str(tmp_path / "exports"), _case_table(source).filter("status = 'approved'").limit(1).drop("case_id")
+    cases = one.crossJoin(spark.range(130).selectExpr("concat('id_', id) as case_id"))
+    export.export_versioned(cases, path, as_of())
+    later = cases.filter("case_id not in ('id_0', 'id_129')").unionByName(one.withColumn("case_id", F.lit("new")))
+    second = export.export_versioned(later, path, as_of())
+    got = [{(r.case_id, r.change) for r in export.changes(spark, path, v).collect()} for v in (1, 2)]
+    assert got[0] == {(f"id_{i}", "added") for i in range(130)}
+    assert got[1] == {("id_0", "removed"), ("id_129", "removed"), ("new", "added")}
+    assert (second.first().added, second.first().removed) == (1, 2)
+    text = export.render_changelog(spark.read.parquet(f"{path}/changelog").filter("version = 1"), export.changes(spark, path, 1)).first().text
+    assert "- added (130): " in text and "all in changes" in text
+
+
 def test_stream_resumes_and_replaces(spark, source, tmp_path):
     places = [str(tmp_path / x) for x in ("in", "logs", "ckpt")]
     logs = _log_table(source).filter("length(prompt) > 0 and length(response) > 0")

@@ -58,13 +58,16 @@ def changelog_entry(current: DataFrame, diff: DataFrame, version: int, as_of: Co
 
 
 def render_changelog(entry: DataFrame, diff: DataFrame, listed: int = 50) -> DataFrame:
-    """An entry as text; it names the first ids of each kind and counts them all."""
+    """An entry as text; it names the first ids of each kind and counts them all.
+
+    Every id is in the table that ``export_versioned`` writes to ``path/changes``.
+    """
     def first(change: str) -> Column:
         names = diff.filter(F.col("change") == change).orderBy("case_id").limit(listed)
         return names.agg(F.array_join(F.array_sort(F.collect_list("case_id")), ", ").alias("ids")).scalar()
 
     def line(change: str) -> Column:
-        more = F.when(F.col(change) > listed, F.lit(", ...")).otherwise("")
+        more = F.when(F.col(change) > listed, F.lit(", ... (all in changes)")).otherwise("")
         return F.when(
             F.col(change) > 0, F.concat(F.lit(f"- {change} ("), F.col(change).cast("string"), F.lit("): "), first(change), more)
         )
@@ -77,11 +80,17 @@ def render_changelog(entry: DataFrame, diff: DataFrame, listed: int = 50) -> Dat
     ).alias("text"))
 
 
+def changes(spark: SparkSession, path: str, version: int) -> DataFrame:
+    """case_id and change of every case that a version added or removed."""
+    rows = spark.read.schema("case_id string, change string, version int").parquet(f"{path}/changes")
+    return rows.filter(F.col("version") == version).select("case_id", "change")
+
+
 def export_versioned(cases: DataFrame, path: str, as_of: Column) -> DataFrame:
     """Write the approved cases as the next version; returns the changelog row.
 
-    JSON lines go to ``path/eval_dataset_v{n}`` and the entry to
-    ``path/changelog``. Nulls are kept, and no cases give a valid empty export.
+    JSON lines go to ``path/eval_dataset_v{n}``, every added and removed id (case_id,
+    change, version) to ``path/changes`` and the entry to ``path/changelog``. Nulls are kept, and no cases give a valid empty export.
     """
     spark = cases.sparkSession
     known = versions(spark, path)
@@ -93,6 +102,7 @@ def export_versioned(cases: DataFrame, path: str, as_of: Column) -> DataFrame:
     previous = None
     if version - 1 in known:
         previous = spark.read.schema("case_id string").json(f"{path}/eval_dataset_v{version - 1}")
-    entry = changelog_entry(written, export_diff(written, previous), version, as_of)
+    export_diff(written, previous).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{path}/changes")
+    entry = changelog_entry(written, changes(spark, path, version), version, as_of)
     entry.write.mode("append").parquet(f"{path}/changelog")
     return spark.read.parquet(f"{path}/changelog").filter(F.col("version") == version)
