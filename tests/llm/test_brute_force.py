@@ -326,3 +326,17 @@ def test_search_with_rare_and_frequent_terms_is_exact():
     full = index.vectors([(r[2], r[3]) for r in rows[:150]]) @ every.T
     want = np.lexsort((np.broadcast_to(np.arange(500), full.shape), -full.round(12)), axis=1)[:, :10]
     assert (place == want).all() and np.allclose(cosine, np.take_along_axis(full, want, 1))
+
+
+def test_audit_weighs_nodes_alike_and_draws_until_some_link(spark):
+    rng = np.random.default_rng(9)
+    heart, alone, pairs = rng.standard_normal((1, 32)), rng.standard_normal((700, 32)), rng.standard_normal((60, 32))
+    group, twins = heart + 0.01 * rng.standard_normal((200, 32)), pairs + 0.01 * rng.standard_normal((60, 32))
+    def nodes(*parts):
+        rows = [(i, 1, v.tolist()) for i, v in enumerate(np.concatenate(parts))]
+        return spark.createDataFrame(rows, "node long, n long, v array<double>").cache()
+    counts = spark.createDataFrame([(i, 199) for i in range(200)], "node long, links long")
+    assert abs(vectors.audit(nodes(group, pairs, twins), counts, queries=10**6) - 200 / 320) < 1e-9
+    rare = nodes(alone, pairs[:2], twins[:2])
+    assert vectors.audit(rare, counts.limit(0), queries=8) == 0.0
+    assert vectors.audit(nodes(alone), counts.limit(0), queries=8, most=32) is None and vectors.audit(nodes(alone), counts.limit(0)) == 1.0

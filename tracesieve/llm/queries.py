@@ -37,7 +37,8 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))[0]
+    found, recall = vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("recall", F.lit(recall).cast("double"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ ORDERS, REACH = 8, 3
 MARGIN = 6.0
 #: Vectors asked against all others to measure recall, and the recall that is needed.
 AUDIT, RECALL = 256, 0.98
+#: Vectors with a link that the audit wants among those asked, and the most it asks for that.
+LINKED, ASKED = 64, 16_384
 BLOCK = 512
 WORDS = BITS // 64
 
@@ -207,17 +209,29 @@ def linked_counts(joined: DataFrame, nodes: DataFrame, threshold: float = THRESH
     return pieces.groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
-    """Share of the true links of about ``queries`` nodes (by hash) that ``counts`` (node, links) has.
+def audit(nodes: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, queries: int = AUDIT, most: int = ASKED) -> float | None:
+    """Mean share of its true links that ``counts`` (node, links) has of a node with links.
 
-    The queries are few and their number is fixed; they go to every task, where blocks of
-    all nodes meet them.
+    Each node counts alike, whatever the size of its group. About ``queries`` nodes (by
+    hash) are asked, then four times as many until ``LINKED`` of them have a link or all
+    or ``most`` are asked. None if a part was asked and none of it has a link: not measured.
     """
     total = nodes.count()
-    share = int(min(1.0, queries / max(1, total)) * 10**9)
-    asked = [(r.node, r.v) for r in nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(10**9)) < share).select("node", "v").collect()]
+    while True:
+        linked, recall = _recall(nodes, counts, threshold, min(1.0, queries / max(1, total)))
+        if linked >= LINKED or queries >= min(total, most):
+            return recall if linked else 1.0 if queries >= total else None
+        queries = min(4 * queries, most)
+
+
+def _recall(nodes: DataFrame, counts: DataFrame, threshold: float, share: float) -> tuple[int, float | None]:
+    """How many nodes of a share have links, and their mean recall.
+
+    The nodes asked go to every task, where blocks of all nodes meet them.
+    """
+    asked = [(r.node, r.v) for r in nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(10**9)) < int(share * 10**9)).select("node", "v").collect()]
     if not asked:
-        return 1.0
+        return 0, None
     ids, vectors = np.array([a[0] for a in asked]), [np.asarray(a[1]) for a in asked]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,23 +239,26 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, que
             sizes = frame["v"].map(len).to_numpy()
             for size in np.unique(sizes):
                 part = frame[sizes == size]
-                at = [i for i, v in enumerate(vectors) if len(v) == size]
-                if at:
+                same = [i for i, v in enumerate(vectors) if len(v) == size]
+                for lo in range(0, len(same), BLOCK):
+                    at = same[lo : lo + BLOCK]
                     q = np.stack([vectors[i] for i in at])
                     links = (q / np.sqrt((q**2).sum(1, keepdims=True))) @ _unit_rows(part).T >= threshold
                     links &= ids[at][:, None] != part["node"].to_numpy()[None]
                     yield pd.DataFrame({"node": ids[at], "true": links @ part["n"].to_numpy()})
 
     true = nodes.select("node", "n", "v").mapInPandas(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    got = true.join(counts, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    share = F.least("true", F.coalesce("links", F.lit(0))) / F.col("true")
+    got = true.where(F.col("true") > 0).join(counts, "node", "left").agg(F.count("*"), F.avg(share)).first()
+    return got[0], got[1]
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float]:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, float | None]:
     """(vec_id, n_links, component_id, kept) with one row per id, and the measured recall.
 
     Equal vectors are folded first. The search is repeated with lists and orders twice as
-    large while the audit finds less than ``RECALL`` of the true links. A vector that is
+    large while the audit finds less than ``RECALL`` of a node's true links or cannot
+    measure it. The first graph's orders grow with the logarithm of the rows. A vector that is
     null, empty, zero or has null or non-finite components links with nothing; vectors of
     different length do not link. Rows that repeat an id count once, with the smallest of
     their usable vectors; rows without an id are left out.
@@ -249,13 +266,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     good = cut(usable(vectors))
     folded = good.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     nodes = cut(folded.select("node", "n", "v", _sketch("v").alias("s")))
-    k, orders, recall = LIST, ORDERS, 0.0
+    k, orders, recall = LIST, max(ORDERS, nodes.count().bit_length()), None
     for _ in range(3):
         graph = descend(nodes.select("node", "s"), k, orders)
         joined = cut(components(threshold_edges(graph, nodes, threshold)))
         counts = cut(linked_counts(joined, nodes, threshold))
         recall = audit(nodes, counts, threshold)
-        if recall >= RECALL:
+        if recall is not None and recall >= RECALL:
             break
         k, orders = 2 * k, 2 * orders
     named = (
