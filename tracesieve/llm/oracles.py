@@ -62,3 +62,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 30 * n_lines) AS kept
 FROM judged
 """
+
+URLS_SQL = r"""
+WITH rests AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS address
+  FROM rests
+), listed AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+    regexp_extract(address, '/casino/history([^a-z0-9_.%-]|\z)|/poker/rules([^a-z0-9_.%-]|\z)') AS allowed,
+    regexp_matches(address, '^([^/?#]*\.)?(spam-farm|link-farm|casino|ads|tracker)\.|/casino/|/poker/|/adserver/|/wp-login\.php|/wp-admin/|/cgi-bin/'
+      '|/(cart|checkout|login)([^a-z0-9_.%-]|\z)|[^a-z0-9_.%-]replytocom=|\.(exe|zip|jpg|png|mp4)\z') AS blocked
+  FROM parts
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN allowed <> '' THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
+FROM listed
+"""
