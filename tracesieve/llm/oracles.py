@@ -88,3 +88,43 @@ SELECT page_id, host, path, rule,
     WHEN allowed <> '' THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM listed
 """
+
+PHRASES_SQL = r"""
+WITH lines AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), split_pieces AS (
+  SELECT d, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS p FROM lines
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM split_pieces
+), placed AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM worded
+), grams AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase FROM placed, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(words)
+), f AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), candidates AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10
+), cuts AS (
+  SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS c FROM candidates
+), scored AS (
+  SELECT x.*, l.a AS l, r.a AS r, ((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts x
+  JOIN f l ON l.lang = x.lang AND l.k = x.c AND l.phrase = array_to_string(x.w[1 : x.c], ' ')
+  JOIN f r ON r.lang = x.lang AND r.k = x.k - x.c AND r.phrase = array_to_string(x.w[x.c + 1 :], ' ')
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), inner_ones AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM weakest s LEFT JOIN inner_ones i ON i.lang = s.lang AND i.phrase = s.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals ON totals.lang = kept.lang
+QUALIFY rank <= 2000
+"""

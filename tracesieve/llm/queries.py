@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesieve.llm import language, licenses, mixing, pieces, private, quality, rules, simhash, toxicity, urls, vectors
+from tracesieve.llm import language, licenses, mixing, phrases, pieces, private, quality, rules, simhash, toxicity, urls, vectors
 from tracesieve.llm.common import remainder, small_batches, table
-from tracesieve.llm.oracles import MIX_SQL, RULES_SQL, URLS_SQL
+from tracesieve.llm.oracles import MIX_SQL, PHRASES_SQL, RULES_SQL, URLS_SQL
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.filter_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
@@ -67,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_private, op3_pieces, op4_toxicity, op5_mixing, op6_rules, op7_vectors, op8_quality, op9_simhash, op10_licenses,
-        op13_urls,
+        op12_phrases, op13_urls,
     )
 }
-ORACLES = {"op5_mixing": MIX_SQL, "op6_rules": RULES_SQL, "op13_urls": URLS_SQL}
+ORACLES = {"op5_mixing": MIX_SQL, "op6_rules": RULES_SQL, "op12_phrases": PHRASES_SQL, "op13_urls": URLS_SQL}
