@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesieve.llm import language, licenses, mixing, phrases, pieces, private, quality, rules, simhash, toxicity, urls, vectors
+from tracesieve.llm import align, language, licenses, mixing, phrases, pieces, private, quality, rules, simhash, toxicity, urls, vectors
 from tracesieve.llm.common import remainder, small_batches, table
 from tracesieve.llm.oracles import MIX_SQL, PHRASES_SQL, RULES_SQL, URLS_SQL
 
@@ -58,6 +58,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language, op2_private, op3_pieces, op4_toxicity, op5_mixing, op6_rules, op7_vectors, op8_quality, op9_simhash, op10_licenses,
-        op12_phrases, op13_urls,
+        op11_alignment, op12_phrases, op13_urls,
     )
 }
 ORACLES = {"op5_mixing": MIX_SQL, "op6_rules": RULES_SQL, "op12_phrases": PHRASES_SQL, "op13_urls": URLS_SQL}
