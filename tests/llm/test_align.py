@@ -91,7 +91,7 @@ def check(spark, docs):
     assert Counter(tuple(r) for r in got.collect()) == want
 
 
-@pytest.mark.parametrize("chunk, entries", [(12_000_000, 2_000_000), (3000, 50)])
+@pytest.mark.parametrize("chunk, entries", [(5_000_000, 1_000_000), (3000, 50)])
 def test_odd_texts(spark, monkeypatch, chunk, entries):
     monkeypatch.setattr(align, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(align, "PRODUCT_ENTRIES", entries)

@@ -24,6 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from tracesieve.session import cut
 
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text in a chunk, entries of a product made at once, units given to a tokenizer at once.
-CHUNK_BYTES, PRODUCT_ENTRIES, UNITS = 12_000_000, 2_000_000, 1000
+CHUNK_BYTES, PRODUCT_ENTRIES, UNITS = 5_000_000, 1_000_000, 1000
 UNIT_BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 CHUNK = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, a array<int>, b array<int>, held array<int>"
@@ -102,13 +103,16 @@ class Side:
         lists = tokenizer.encode(units)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         self.start = np.concatenate([[0], np.cumsum(sizes)])
-        self.ids = np.fromiter((i for one in lists for i in one), np.int64, self.start[-1])
+        self.ids = np.fromiter(chain.from_iterable(lists), np.int64, self.start[-1])
         self.unit = np.repeat(np.arange(len(units)), sizes)
         self.lengths = np.fromiter(map(len, tokenizer.bytes), np.int64, len(tokenizer.bytes))[self.ids]
-        joined = b"".join([tokenizer.bytes[i] for i in self.ids.tolist()])
+        joined = b"".join([tokenizer.bytes[i] for i in chain.from_iterable(lists)])
         ends = np.concatenate([[0], np.cumsum(self.lengths)])[self.start]
+        wanted = [b" " + u.encode() for u in units]
         #: Units whose tokens hold exactly the bytes of space + unit.
-        self.whole = np.fromiter((joined[ends[i] : ends[i + 1]] == b" " + u.encode() for i, u in enumerate(units)), bool, len(units))
+        self.whole = np.diff(ends) == np.fromiter(map(len, wanted), np.int64, len(units))
+        if not (self.whole.all() and joined == b"".join(wanted)):
+            self.whole = np.fromiter((joined[ends[i] : ends[i + 1]] == u for i, u in enumerate(wanted)), bool, len(units))
 
     def only(self, units: np.ndarray) -> None:
         """Drop the tokens of the units that are not marked."""
