@@ -84,6 +84,77 @@ def test_neighbours_equal_the_full_matrix(spark, near_copies, want, block, monke
     assert got == plain(x, ids, want, ord_, grp, core)
 
 
+def cosine(a, b):
+    length = np.linalg.norm(a) * np.linalg.norm(b)
+    return float(a @ b / length) if length else 0.0
+
+
+@pytest.fixture(scope="module")
+def uneven():
+    """Vectors of many lengths, zero vectors, large offsets, copies up to the length."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 4)) * rng.choice([1e-3, 1.0, 1e4], size=(90, 1))
+    x[10] = x[11] = x[40] = 0
+    x[50:60] = x[50] * np.arange(1, 11)[:, None]
+    x[70:80] = x[70]
+    return x
+
+
+@pytest.mark.parametrize("block", [8192, 7])
+def test_any_length_of_vector(spark, uneven, block):
+    df, ids = frame(spark, uneven), [f"{i:05d}" for i in range(len(uneven))]
+    far = frame(spark, uneven + 1e5)
+    for want, value in ((Want(metric="cosine", k=3), cosine), (Want(k=3), lambda a, b: -float(np.linalg.norm(a - b)))):
+        for rows, x in ((df, uneven), (far, uneven + 1e5)):
+            got = {}
+            for r in vectors.neighbours(rows, rows.filter("cast(id as int) % 2 = 0"), want, block=block).collect():
+                got.setdefault(r.qid, {})[r.n] = r.value if want.metric == "cosine" else -r.value
+            for i, name in enumerate(ids):
+                best = sorted((value(x[i], x[j]) for j in range(0, len(x), 2)), reverse=True)[:3]
+                assert [got[name][n] for n in (1, 2, 3)] == pytest.approx(best, abs=1e-7)
+
+
+def test_rows_without_a_usable_vector(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [nan, 1.0]), ("d", [None, 1.0]), ("e", [inf, 0.0]), ("f", [0.0, 0.0]), ("g", [2.0, 0.0]), ("h", [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 0.0) for i, v in rows], "id string, v array<double>, score double")
+    got = {r.qid: (r.bid, r.value) for r in vectors.neighbours(df, df, Want(metric="cosine", not_self=True)).collect()}
+    assert got == {"a": ("g", 1.0), "g": ("a", 1.0), "f": ("a", 0.0), "h": ("a", 0.0)}
+    decided = {r.id: (r.accepted, r.most_similar_id) for r in dedup.dedup_ordered(df).collect()}
+    assert decided == {i: (i != "g", "a" if i == "g" else None) for i, _ in rows}
+    links = {r.id: (r.class_id, r.n_links, r.other_id) for r in vectors.similarity_pairs(df, 0.9).collect()}
+    assert links == {i: (i, int(i in "ag"), {"a": "g", "g": "a"}.get(i)) for i, _ in rows}
+    assert vectors.neighbours(df, df.limit(0), Want()).count() == 0 and vectors.neighbours(df.limit(0), df, Want()).count() == 0
+
+
+def test_blocks_are_bounded_and_pivots_grow(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(3000, 3)) * 1e-3, rng.normal(size=(1000, 3)), np.zeros((500, 3))])  # one hot cell
+    rows = spark.createDataFrame([(f"{i:05d}", [float(c) for c in v]) for i, v in enumerate(x)], "id string, v array<double>")
+    grid = vectors.build_grid(rows, block=100)
+    sizes = [r["count"] for r in grid.rows.groupBy("block").count().collect()]
+    assert sum(sizes) == len(x) and max(sizes) < 300 and len(grid.pivots) == 5
+    assert all(grid.low <= grid.high) and len(grid.name) == len(sizes)
+    got = vectors.neighbours(rows.limit(200), rows, Want(k=2), block=100).filter("n = 1")
+    assert got.count() == 200 and got.filter("value > 0").count() == 0
+
+
+@pytest.mark.parametrize("block", [8192, 25])
+def test_links_equal_the_full_matrix(spark, near_copies, block, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    x = near_copies
+    dots = np.einsum("id,jd->ij", x, x)
+    got = {r.id: r for r in vectors.similarity_pairs(frame(spark, x), 0.92).collect()}
+    assert len(got) == len(x)
+    for i in range(len(x)):
+        r = got[f"{i:05d}"]
+        equal = [j for j in range(len(x)) if (x[j] == x[i]).all()]
+        linked = [j for j in range(len(x)) if j != i and (dots[i, j] >= 0.92 or j in equal)]
+        assert (int(r.class_id), r.n_links) == (equal[0], len(linked))
+        best = min(((-round(1.0 if j in equal else dots[i, j], 9), j) for j in linked), default=(None, None))
+        assert (r.other_id and int(r.other_id)) == best[1]
+
+
 def test_dedup_equals_one_by_one(spark, near_copies):
     score = np.random.default_rng(1).integers(0, 9, len(near_copies)).astype(float)
     order = sorted(range(len(score)), key=lambda i: (-score[i], i))
@@ -94,6 +165,25 @@ def test_dedup_equals_one_by_one(spark, near_copies):
     assert all(r.accepted or r.similarity >= 0.92 for r in got)
 
 
+def test_dedup_rounds_touch_what_changed(spark, monkeypatch):
+    """A chain, where each decision frees the next, and a dense group: witnesses are asked again, edges only shrink."""
+    monkeypatch.setattr(dedup, "WITNESSES", 2)
+    rng = np.random.default_rng(4)
+    angle = np.arange(40) * 0.3  # neighbours in the chain are near, the next ones are not
+    chain = np.c_[np.cos(angle), np.sin(angle), np.zeros((40, 2))]
+    dense = unit(np.array([0, 0, 1.0, 0]) + rng.normal(scale=0.16, size=(160, 4)))
+    x = unit(np.concatenate([chain, dense]))
+    score = rng.permutation(len(x)).astype(float)
+    seen = []
+    settle = dedup._settle
+    monkeypatch.setattr(dedup, "_settle", lambda *a: settle(*a, on_round=lambda edges, again: seen.append((edges.select("qid").distinct().count(), again.select("qid").distinct().count()))))
+    got = {int(r.id) for r in dedup.dedup_ordered(frame(spark, x, score)).collect() if r.accepted}
+    assert got == brute.greedy_dedup(x, sorted(range(len(x)), key=lambda i: (-score[i], i)), 0.92)
+    waiting, asking = zip(*seen)
+    assert len(seen) <= 12 and waiting[0] > 100 and list(waiting) == sorted(waiting, reverse=True)
+    assert sum(asking) < 2 * len(x) and max(asking) > 0
+
+
 def test_dedup_in_blocks_with_existing_cases(spark, near_copies, small_blocks):
     existing, fresh = near_copies[:60], near_copies[60:]
     got = dedup.dedup_ordered(frame(spark, fresh), frame(spark, existing).select("id", "v")).collect()

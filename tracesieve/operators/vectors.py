@@ -1,22 +1,24 @@
 """Vector operators: centroids, distances and exact nearest-neighbour joins.
 
-The join (``neighbours``) has two ways to run, chosen by the size of the base:
-
-* up to ``BLOCK`` base rows: the base goes to every task (a checked bound) and
-  the queries are scanned once, without a shuffle;
-* beyond that: both sides are split into Voronoi cells around at most
-  ``MAX_PIVOTS`` pivots. The triangle inequality tells which cells a query can
-  have answers in, oversized cells are split by a hash of the id, and each pair
-  of blocks meets in one cogroup. Every task sees at most about two blocks,
-  whatever the distribution, and emits at most ``k`` rows per query. (Lu, Shen,
-  Chen, Ooi 2012; Das Sarma, He, Chaudhuri 2014.)
-
-Both give exact answers; no pair is skipped that could matter.
+The join (``neighbours``) meets blocks of queries and blocks of base rows on a grid:
+
+* a ``Grid`` deals the base rows to pivots (about sqrt(n) / 16 of them, so their number
+  grows with the base), cuts a large cell into rings of the distance to its pivot, and a
+  large ring into parts by a hash of the id. No block has much more than ``block`` rows,
+  whatever the distribution. The driver holds the pivots and a few numbers for each block.
+* a query visits the blocks that the triangle inequality leaves open: those whose smallest
+  and largest distance to the pivot can be met within the query's bound (Lu, Shen, Chen,
+  Ooi 2012; Das Sarma, He, Chaudhuri 2014). Queries are blocked likewise, and each pair of
+  blocks is one cogroup, multiplied in chunks, with at most ``k`` rows per query coming out.
+
+Answers are exact at every size. Rows whose vector is null or holds a null or non-finite
+number have no neighbours and are nobody's. Cosine is taken of vectors brought to length
+one; a zero vector has cosine 0 with every vector.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -31,9 +33,9 @@ from tracesieve.session import cut
 
 BLOCK = 8192
 CHUNK = 512
-MAX_PIVOTS = 1024
-SLACK = 1e-5
-TIE = 1e-11
+RINGS = 64
+SLACK = 1e-6
+TIE = 1e-12
 
 
 def as_double(vector: Column) -> Column:
@@ -107,6 +109,8 @@ def _exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 def _best(q: pd.DataFrame, b: pd.DataFrame, want: Want) -> pd.DataFrame:
     """The ``k`` best base rows of each query row of two blocks."""
+    if not len(q) or not len(b):
+        return pd.DataFrame({"qid": [], "bid": [], "key": []})
     base, base_ids = _matrix(b["v"]), b["id"].to_numpy(dtype=object)
     base_sq = np.einsum("ij,ij->i", base, base)
     q_ids = q["id"].to_numpy(dtype=object)
@@ -129,8 +133,9 @@ def _best(q: pd.DataFrame, b: pd.DataFrame, want: Want) -> pd.DataFrame:
             key, tie = -dots, TIE
         else:
             # squared distances: the tie margin is far above their rounding error
-            key = np.maximum(np.einsum("ij,ij->i", vectors, vectors)[:, None] + base_sq - 2 * dots, 0.0)
-            tie = TIE * (1 + key.max(initial=0.0))
+            square = np.einsum("ij,ij->i", vectors, vectors)[:, None]
+            key = np.maximum(square + base_sq - 2 * dots, 0.0)
+            tie = TIE * (1 + square.max(initial=0.0) + base_sq.max(initial=0.0))
         if want.metric == "reach":
             cores = np.maximum(part["core"].to_numpy()[:, None], b["core"].to_numpy()[None, :])
             key = np.maximum(key, cores ** 2)
@@ -169,24 +174,73 @@ def _best(q: pd.DataFrame, b: pd.DataFrame, want: Want) -> pd.DataFrame:
 _FOUND = "qid string, bid string, key double"
 
 
-@dataclass(frozen=True)
-class Cells:
-    """Pivots with per-cell facts; all arrays have one entry per pivot."""
-
-    pivots: np.ndarray
-    radius: np.ndarray  # largest distance of a base row to its pivot
-    near: np.ndarray  # (pivots, k): smallest distances of base rows to the pivot
-    subs: np.ndarray  # blocks the cell is split into
-    grp: list  # the group of a cell with only one group, else None
-
-
 def _to_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     sq = (vectors ** 2).sum(1)[:, None] + (pivots ** 2).sum(1) - 2 * vectors @ pivots.T
     return np.sqrt(np.maximum(sq, 0.0))
 
 
-def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot (``cell``) and the distance to it."""
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def usable(df: DataFrame, metric: str, base: bool) -> DataFrame:
+    """Rows with a finite vector ``v``, for cosine in two more dimensions and of length one.
+
+    The two dimensions keep zero vectors of both sides at cosine 0 to everything.
+    """
+    df = df.withColumn("v", as_double(F.col("v"))).filter(
+        F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
+    )
+    if metric != "cosine":
+        return df
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
+    exact = F.abs(F.col("_length") - 1) < 1e-9
+    zero = [F.lit(float(base)), F.lit(float(not base))]
+    unit = F.when(F.col("_length") == 0, F.concat("v", F.array(*zero))).otherwise(
+        F.concat(F.when(exact, F.col("v")).otherwise(F.transform("v", lambda x: x / F.col("_length"))), F.array(F.lit(0.0), F.lit(0.0)))
+    )
+    return df.withColumn("_length", length).withColumn("v", unit).drop("_length")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Base rows in blocks, and per block what bounds the distance to its rows."""
+
+    rows: DataFrame  # id, v, further columns, block
+    metric: str
+    block: int  # rows that a block should hold
+    pivots: np.ndarray
+    cell: np.ndarray  # by block: its pivot
+    name: np.ndarray  # by block: its value in ``rows``
+    low: np.ndarray  # by block: smallest and largest distance of a row to the pivot
+    high: np.ndarray
+    near: np.ndarray  # by pivot: smallest distances of rows to it, in order
+    first: np.ndarray  # by block: smallest ``ord``
+    group: np.ndarray  # by block: its only group, or None
+
+    def relabelled(self, labels: DataFrame) -> Grid:
+        """The same blocks with the groups (id, grp) of ``labels``."""
+        rows = cut(self.rows.drop("grp").join(labels.select("id", "grp"), "id"))
+        group = np.full(len(self.name), None, dtype=object)
+        place = {int(name): i for i, name in enumerate(self.name)}
+        for r in rows.groupBy("block").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).collect():
+            group[place[r.block]] = r.g0 if r.g0 == r.g1 else None
+        return replace(self, rows=rows, group=group)
+
+    def only(self, ids: DataFrame) -> Grid:
+        """The rows whose ``id`` is among ``ids``; the bounds still hold, except those on how many rows are near."""
+        return replace(self, rows=self.rows.join(ids.select("id"), "id", "left_semi"), near=np.full(self.near.shape, np.inf))
+
+
+def build_grid(base: DataFrame, metric: str = "euclidean", block: int | None = None, k: int = 1) -> Grid:
+    """Deal ``base`` (id, v and further columns) to blocks; ``k``: how many neighbours may be asked for."""
+    block = block or BLOCK
+    base = cut(usable(base, metric, True))
+    n = base.count()
+    wanted = max(1, int(np.ceil(np.sqrt(n) / 16)))
+    # about sqrt(n) / 16 vectors
+    chosen = base.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
+    pivots = np.array([r.v for r in chosen], dtype=np.float64) if chosen else np.zeros((0, 1))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -195,65 +249,92 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
                 cell = d.argmin(axis=1)
                 yield pdf.assign(cell=cell.astype("int32"), to_pivot=d[np.arange(len(pdf)), cell])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(nearest, f"{fields}, cell int, to_pivot double")
+    placed = cut(base.mapInPandas(nearest, f"{_fields(base)}, cell int, to_pivot double"))
+    rows = placed.withColumn("block", F.col("cell").cast("bigint") * (RINGS << 24)) if n <= block else _in_rings(placed, block)
+    extra = [F.min("ord").alias("first")] if "ord" in base.columns else []
+    extra += [F.min("grp").alias("g0"), F.max("grp").alias("g1")] if "grp" in base.columns else []
+    # one row for each block
+    facts = rows.groupBy("block").agg(F.first("cell").alias("cell"), F.min("to_pivot").alias("low"), F.max("to_pivot").alias("high"), *extra)
+    facts = facts.orderBy("block").collect()
+    order = Window.partitionBy("cell").orderBy("to_pivot")
+    low = placed.select("cell", "to_pivot").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    near = np.full((len(pivots), k + 1), np.inf)
+    for r in low.collect():  # k + 1 rows for each pivot
+        near[r.cell, r.n - 1] = r.to_pivot
+    column = lambda name, kind=np.float64: np.array([r[name] for r in facts], dtype=kind)
+    return Grid(
+        rows.drop("cell", "to_pivot"), metric, block, pivots, column("cell", np.int64), column("block", np.int64), column("low"), column("high"), near,
+        column("first") if "ord" in base.columns else np.full(len(facts), -np.inf),
+        np.array([r.g0 if r.g0 == r.g1 else None for r in facts] if "grp" in base.columns else [None] * len(facts), dtype=object),
+    )
 
 
-def _block_of(subs: list[int]) -> Column:
-    """Block id: the cell and a hash-based part of it."""
-    sizes = F.array(*[F.lit(int(n)) for n in subs])
-    part = F.pmod(F.xxhash64("id"), F.element_at(sizes, F.col("cell") + 1).cast("bigint"))
-    return F.col("cell").cast("bigint") * F.lit(1 << 24) + part
+def _in_rings(placed: DataFrame, block: int) -> DataFrame:
+    """Add ``block``: the cell, its ring by distance to the pivot, and a part of the ring by hash."""
+    share = F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)])
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("to_pivot", share, F.lit(1000)).alias("bounds"))
+    cells = F.broadcast(cells.withColumn("rings", F.least(F.ceil(F.col("n") / F.lit(float(block))), F.lit(RINGS))).drop("n"))
+    fine = F.size(F.filter("bounds", lambda b: b < F.col("to_pivot")))
+    ringed = placed.join(cells, "cell").withColumn("ring", F.floor(fine * F.col("rings") / RINGS).cast("bigint")).drop("bounds", "rings")
+    # at most RINGS rows for each pivot; rows of equal distance share a ring, so a ring may still be large
+    parts = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / F.lit(float(block))).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
+    block_name = (F.col("cell").cast("bigint") * RINGS + F.col("ring")) * (1 << 24) + part
+    return ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("block", block_name).drop("ring", "parts")
 
 
-def _cell_facts(placed: DataFrame, pivots: np.ndarray, want: Want) -> Cells:
-    """Facts per cell; at most one row per pivot reaches the driver."""
-    k = want.k + 1
-    low = Window.partitionBy("cell").orderBy("to_pivot")
-    near_rows = (
-        placed.select("cell", "to_pivot").withColumn("n", F.row_number().over(low)).filter(F.col("n") <= k)
-        .groupBy("cell").agg(F.sort_array(F.collect_list("to_pivot")).alias("near"))
-    )
-    extra = [F.min("grp").alias("g0"), F.max("grp").alias("g1")] if want.other_group else []
-    facts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("to_pivot").alias("r"), *extra).join(near_rows, "cell")
-    p = len(pivots)
-    radius, subs = np.full(p, -np.inf), np.zeros(p, dtype=int)
-    near, grp = np.full((p, k), np.inf), [None] * p
-    for row in facts.collect():
-        radius[row.cell], subs[row.cell] = row.r, -(-row.n // BLOCK)
-        near[row.cell, : len(row.near)] = row.near
-        if want.other_group and row.g0 == row.g1:
-            grp[row.cell] = row.g0
-    return Cells(pivots, radius, near, subs, grp)
-
-
-def _visits(df: DataFrame, cells: Cells, want: Want) -> DataFrame:
-    """Queries with every base block that may hold an answer (``visit``)."""
-    bounded_by_base = not (want.earlier or want.other_group or want.metric == "reach")
+def plan_visits(queries: DataFrame, grid: Grid, want: Want, all_within: bool = False) -> DataFrame:
+    """Queries (id, v, columns of ``want``, optional upper bound ``ub``) with their block and the base blocks left open.
+
+    ``all_within`` keeps every block that may hold a row within ``want.within``, not only those of the ``k`` nearest.
+    """
+    columns = ["id", "v", *want.optional]
+    queries = usable(queries.select(*columns, *[c for c in queries.columns if c == "ub"]), want.metric, False)
+    bounded_by_base = not (all_within or want.earlier or want.other_group or want.metric == "reach")
     k = want.k + int(want.not_self)
-    single = np.array([g if g is not None else "" for g in cells.grp], dtype=object)
-    blocks = [np.arange(n) + (c << 24) for c, n in enumerate(cells.subs)]
-    has_bound = "ub" in df.columns
+    has_bound = "ub" in queries.columns
+    pivots, cell, low, high, near = grid.pivots, grid.cell, grid.low, grid.high, grid.near[:, :k]
+    name, first, group = grid.name, grid.first, grid.group
+    size = float(np.sqrt((pivots ** 2).sum(1).max(initial=0.0)) + high.max(initial=0.0))
+    step = max(1, 4_000_000 // max(1, len(name), near.size))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _to_pivots(_matrix(pdf["v"]), cells.pivots)
-            bound = np.full(len(pdf), want.radius)
-            if has_bound:
-                bound = np.minimum(bound, pdf["ub"].to_numpy())
-            if bounded_by_base:
-                reach = (d[:, :, None] + cells.near[None, :, :k]).reshape(len(pdf), -1)
-                bound = np.minimum(bound, np.partition(reach, k - 1, axis=1)[:, k - 1])
-            open_ = d - cells.radius <= bound[:, None] + SLACK
-            if want.other_group:
-                open_ &= pdf["grp"].to_numpy()[:, None] != single[None, :]
-            rows = [np.concatenate([blocks[c] for c in np.nonzero(o)[0]] or [np.zeros(0, int)]) for o in open_]
-            yield pdf.assign(visit=rows)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(visit, f"{fields}, visit array<bigint>")
+        for whole in batches:
+            for at in range(0, len(whole) if len(name) else 0, step):
+                pdf = whole.iloc[at : at + step]
+                vectors = _matrix(pdf["v"])
+                d = _to_pivots(vectors, pivots)
+                bound = np.full(len(pdf), want.radius)
+                if has_bound:
+                    bound = np.minimum(bound, pdf["ub"].to_numpy())
+                if bounded_by_base:
+                    reach = (d[:, :, None] + near[None]).reshape(len(pdf), -1)
+                    bound = np.minimum(bound, np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] > k - 1 else np.inf)
+                bound = (bound + SLACK * (1 + size + np.sqrt((vectors ** 2).sum(1))))[:, None]
+                own = d[:, cell]
+                open_ = (own - high <= bound) & (low - own <= bound)
+                if want.earlier:
+                    open_ &= first <= pdf["ord"].to_numpy()[:, None]
+                if want.other_group:
+                    open_ &= pdf["grp"].to_numpy(dtype=object)[:, None] != group
+                rows, blocks = np.nonzero(open_)
+                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), visit=np.split(name[blocks], np.searchsorted(rows, np.arange(1, len(pdf)))))
+
+    planned = cut(queries.mapInPandas(visit, f"{_fields(queries)}, cell int, visit array<bigint>"))
+    # one number for each pivot
+    parts = {r.cell: -(-r["count"] // grid.block) for r in planned.groupBy("cell").count().collect()}
+    split = F.array(*[F.lit(parts.get(c, 1)) for c in range(max(1, len(pivots)))])
+    return planned.withColumn(
+        "qblock", F.col("cell").cast("bigint") * (1 << 24) + F.pmod(F.xxhash64("id"), F.element_at(split, F.col("cell") + 1).cast("bigint"))
+    ).drop("cell")
+
+
+def meet(planned: DataFrame, grid: Grid, kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``kernel`` on every block of queries and every base block that one of them visits."""
+    spread = planned.withColumn("bblock", F.explode("visit")).drop("visit")
+    meetings = planned.select(F.col("qblock").alias("qb"), F.explode("visit").alias("block")).distinct()
+    copies = grid.rows.join(meetings, "block").withColumnRenamed("block", "bb")
+    return spread.groupBy("qblock", "bblock").cogroup(copies.groupBy("qb", "bb")).applyInPandas(kernel, schema)
 
 
 def _merge(found: DataFrame, want: Want) -> DataFrame:
@@ -265,65 +346,20 @@ def _merge(found: DataFrame, want: Want) -> DataFrame:
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= want.k)
 
 
-def neighbours(queries: DataFrame, base: DataFrame, want: Want) -> DataFrame:
+def neighbours(queries: DataFrame, base: DataFrame | Grid, want: Want, block: int | None = None) -> DataFrame:
     """The ``want.k`` nearest base rows of every query, exactly.
 
     Both sides have ``id`` (string) and ``v`` (vector), and as ``want`` asks
     ``ord``, ``grp`` or ``core``; queries may carry ``ub``, a known upper bound
     of the answer's value. Result: qid, bid, value (cosine or distance), n
-    (1 is the best). Queries without an answer are absent.
+    (1 is the best). Queries without an answer are absent. A ``Grid`` of the base
+    can be used for many calls.
     """
-    columns = ["id", "v", *want.optional]
-    queries = queries.select(*columns, *[c for c in queries.columns if c == "ub"]).withColumn("v", as_double(F.col("v")))
-    base = base.select(*columns).withColumn("v", as_double(F.col("v")))
-    sample = base.limit(BLOCK + 1).toPandas()
-    if len(sample) <= BLOCK:
-        small = sample.sort_values("id", ignore_index=True)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(small):
-                    yield _best(pdf, small, want)
-
-        found = queries.mapInPandas(scan, _FOUND)
-        order = Window.partitionBy("qid").orderBy("key", "bid")
-        ranked = found.withColumn("n", F.lit(1) if want.k == 1 else F.row_number().over(order))
-    else:
-        ranked = _merge(_block_join(queries, base, want), want)
+    if not isinstance(base, Grid):
+        base = build_grid(base.select("id", "v", *want.optional), want.metric, block, want.k)
+    found = meet(plan_visits(queries, base, want), base, lambda q, b: _best(q, b, want), _FOUND)
     value = -F.col("key") if want.metric == "cosine" else F.col("key")
-    return ranked.select("qid", "bid", value.alias("value"), F.col("n").cast("int").alias("n"))
-
-
-def pick_pivots(base: DataFrame, n_rows: int) -> np.ndarray:
-    """Up to ``MAX_PIVOTS`` base vectors, chosen by a hash of the id."""
-    wanted = max(1, min(MAX_PIVOTS, -(-n_rows // BLOCK)))
-    chosen = base.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").toPandas()
-    return _matrix(chosen["v"])
-
-
-def _block_join(queries: DataFrame, base: DataFrame, want: Want) -> DataFrame:
-    base = cut(base)
-    pivots = pick_pivots(base, base.count())
-    placed = cut(_assign(base, pivots))
-    cells = _cell_facts(placed, pivots, want)
-    columns = ["id", "v", *want.optional]
-
-    asked = cut(_assign(queries, pivots).drop("to_pivot"))
-    per_cell = {row.cell: row["count"] for row in asked.groupBy("cell").count().collect()}
-    q_subs = [max(1, -(-per_cell.get(c, 0) // BLOCK)) for c in range(len(pivots))]
-    planned = cut(_visits(asked, cells, want).withColumn("qblock", _block_of(q_subs)))
-    spread = planned.select("qblock", F.explode("visit").alias("bblock"), *columns)
-    meetings = planned.select(F.col("qblock").alias("qb"), F.explode("visit").alias("bblock")).distinct()
-    copies = (
-        placed.withColumn("bblock", _block_of([max(1, int(n)) for n in cells.subs]))
-        .select("bblock", *columns).join(meetings, "bblock").withColumnRenamed("qb", "qblock")
-    )
-
-    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _best(q, b, want)
-
-    left = spread.groupBy("qblock", "bblock")
-    return left.cogroup(copies.groupBy("qblock", "bblock")).applyInPandas(meet, _FOUND)
+    return _merge(found, want).select("qid", "bid", value.alias("value"), F.col("n").cast("int").alias("n"))
 
 
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -334,14 +370,72 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     )
 
 
+def fold_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, v, ...) with ``point``, shared by equal vectors; a zero vector is only like itself by id."""
+    clean = F.transform(as_double(F.col("v")), lambda x: x + F.lit(0.0))  # no negative zeros
+    zero = F.forall(clean, lambda x: x == 0)
+    name = F.coalesce(F.concat(F.to_json(clean), F.when(zero, F.col("id")).otherwise(F.lit(""))), F.concat(F.lit("-"), F.col("id")))
+    return rows.withColumn("v", clean).withColumn("point", F.md5(name.cast("binary")))
+
+
+def _links(q: pd.DataFrame, b: pd.DataFrame, within: float) -> pd.DataFrame:
+    """Per query of two blocks of points: rows it links with, and the best of them."""
+    if not len(q) or not len(b):
+        return pd.DataFrame({"qid": [], "links": [], "key": [], "bid": []})
+    base, copies, names, ids = _matrix(b["v"]), b["copies"].to_numpy(), b["class_id"].to_numpy(dtype=object), b["id"].to_numpy(dtype=object)
+    order = np.argsort(names)
+    base, copies, names, ids = base[order], copies[order], names[order], ids[order]
+    id_q, id_b = _codes(q["id"].to_numpy(dtype=object), ids)
+    out = []
+    for start in range(0, len(q), CHUNK):
+        vectors = _matrix(q["v"].iloc[start : start + CHUNK])
+        cosine = vectors @ base.T
+        cosine[id_q[start : start + CHUNK, None] == id_b[None, :]] = -np.inf
+        rows, cols = np.nonzero(np.abs(cosine - within) <= TIE)
+        cosine[rows, cols] = -_exact(vectors[rows], base[cols], "cosine")
+        near = cosine >= within
+        # equal values by a hair: the exact one decides, then the smaller id
+        best = cosine.max(axis=1)
+        rows, cols = np.nonzero(near & (cosine >= best[:, None] - TIE))
+        value = -_exact(vectors[rows], base[cols], "cosine")
+        place = np.lexsort((cols, -value, rows))
+        first = place[np.unique(rows[place], return_index=True)[1]]
+        out.append(pd.DataFrame({
+            "qid": q["id"].to_numpy(dtype=object)[start + rows[first]], "links": (near @ copies)[rows[first]], "key": -value[first], "bid": names[cols[first]],
+        }))
+    return pd.concat(out)
+
+
 def similarity_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Each vector with its most similar other vector, where that is similar enough.
+    """Every vector (id, v) with its class, its number of links, and its most similar other vector.
 
-    One row per vector at most: listing all pairs would be quadratic in a group
-    of near-copies.
+    A link joins two rows with cosine of at least ``threshold``. Result, one row per row:
+    id, class_id (smallest id with an equal vector), n_links, other_id and similarity (null
+    without a link; of equal ones the smallest id). Equal vectors meet once as a class, so no
+    row stands for more than one block's worth of work; no pair is left out of ``n_links``.
     """
-    found = neighbours(vectors, vectors, Want(metric="cosine", within=threshold, not_self=True))
-    return found.select(F.col("qid").alias("id"), F.col("bid").alias("other_id"), F.col("value").alias("similarity"))
+    keyed = cut(fold_copies(vectors.select("id", "v")))
+    classes = keyed.groupBy("point").agg(
+        F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("class_id"),
+    )
+    points = cut(classes.select(F.col("point").alias("id"), "v", "copies", "class_id"))
+    want = Want(metric="cosine", within=threshold, not_self=True)
+    grid = build_grid(points, "cosine")
+    found = meet(plan_visits(points, grid, want, all_within=True), grid, lambda q, b: _links(q, b, threshold), "qid string, links long, key double, bid string")
+    linked = found.groupBy(F.col("qid").alias("point")).agg(F.sum("links").alias("links"), F.min(F.struct("key", "bid")).alias("best"))
+    # the partner of a copy is the first of its class, that of the first is the second
+    second = keyed.join(points.select(F.col("id").alias("point"), "class_id"), "point").filter(F.col("id") != F.col("class_id"))
+    second = second.groupBy("point").agg(F.min("id").alias("second"))
+    rows = (
+        keyed.select("id", "point").join(points.select(F.col("id").alias("point"), "copies", "class_id"), "point")
+        .join(linked, "point", "left").join(second, "point", "left")
+    )
+    twin = F.when(F.col("id") == F.col("class_id"), F.col("second")).otherwise(F.col("class_id"))
+    has_twin = F.col("copies") > 1
+    return rows.select(
+        "id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(has_twin, twin).otherwise(F.col("best.bid")).alias("other_id"), F.when(has_twin, F.lit(1.0)).otherwise(-F.col("best.key")).alias("similarity"),
+    )
 
 
 def most_similar(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
