@@ -2,32 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.session import cut
 
 
+def _local_numbers(keys: Sequence[str], name: str) -> Callable:
+    """Number the rows of a sorted partition from 1 within each run of equal keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, count = None, 0  # keys and number of the row before
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            starts = np.zeros(n, bool)
+            for key in keys:
+                column = batch.column(key)
+                here, before = column.slice(1), column.slice(0, n - 1)
+                differs = pc.fill_null(pc.not_equal(here, before), False)
+                differs = pc.or_(differs, pc.not_equal(pc.is_null(here), pc.is_null(before)))
+                starts[1:] |= differs.to_numpy(zero_copy_only=False)
+            first = [batch.column(key)[0].as_py() for key in keys]
+            starts[0] = last is None or first != last
+            begin = np.maximum.accumulate(np.where(starts, np.arange(n), -count))
+            numbers = np.arange(n) - begin + 1
+            last, count = [batch.column(key)[n - 1].as_py() for key in keys], int(numbers[-1])
+            columns = [*batch.columns, pa.array(numbers, pa.int64()), pa.array(np.full(n, part), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, name, "_part"])
+
+    return run
+
+
+def numbered_parts(df: DataFrame, order: Sequence[str], name: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``df`` range-partitioned by (keys, order), sorted and numbered inside each partition: the one exchange."""
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return ranged.mapInArrow(_local_numbers(keys, name), f"{fields}, `{name}` bigint, _part int")
+
+
 def number_rows(df: DataFrame, order: Sequence[str], name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Number rows from 1 in ``order``, within ``keys`` if given.
 
-    A key may hold a large share of all rows, so rows are range-partitioned by
-    (keys, order), numbered inside each partition, and shifted by the row counts
-    of the partitions before. ``order`` must be unique within a key.
+    A key may hold a large share of all rows, so rows are range-partitioned by (keys,
+    order) and numbered where they lie. A key that goes on from one partition to the next
+    is the first of that one, so one offset for each partition puts the numbers right.
+    ``order`` must be unique within a key.
     """
-    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    counts = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    # one row per key and partition (per partition when there is no key)
-    before = Window.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
+    placed = cut(numbered_parts(df, order, name, keys))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    # one row for each partition
+    ends = placed.groupBy("_part").agg(
+        F.min(key).alias("first"), F.max(key).alias("last"), F.max_by(F.col(name), F.struct(key, F.col(name))).alias("n"),
     )
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets, before = [], None
+    for r in ends.orderBy("_part").collect():
+        start = before[1] if before and before[0] == r.first else 0
+        offsets.append((r._part, start))
+        before = (r.last, r.n + (start if r.first == r.last else 0))
+    shift = df.sparkSession.createDataFrame(offsets, "_part int, _start bigint")
+    shift = F.broadcast(ends.select("_part", F.col("first").alias("_first")).join(shift, "_part"))
+    goes_on = key.eqNullSafe(F.col("_first"))
     return (
-        placed.withColumn("_local", local)
-        .join(starts, [*keys, "_part"])
-        .withColumn(name, (F.col("_local") + F.col("_start")).cast("bigint"))
-        .drop("_local", "_start", "_part")
+        placed.join(shift, "_part")
+        .withColumn(name, F.col(name) + F.when(goes_on, F.col("_start")).otherwise(0))
+        .drop("_part", "_first", "_start")
     )
