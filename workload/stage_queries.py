@@ -231,22 +231,36 @@ def _candidates_with_logs(s: Source):
 
 
 @query("trace_logs", """
-with e as (select case_id, count(*) as edits, max(edit_ts) as last_edit from fx_edits group by case_id),
+with e as (select case_id, count(*) as edits, max(edit_ts) as last_edit,
+             string_agg(edit_id || ':' || field_changed || ':' || before_value || ':' || after_value, ',' order by edit_ts, edit_id) as history
+           from fx_edits group by case_id),
      r as (select case_id, arg_max(run_id, run_ts) as last_run, arg_max(passed, run_ts) as last_passed from fx_runs group by case_id)
 select l.log_id, c.case_id, c.status, coalesce(e.edits, 0) as edits, strftime(e.last_edit, '%Y-%m-%d') as last_edit, r.last_run, r.last_passed,
+       coalesce(e.history, '') as history,
        case when c.case_id is null then 'logged' when r.last_run is not null then 'evaluated'
             when c.status = 'approved' then 'approved' when e.edits > 0 then 'reviewed' else 'labelled' end as stage
 from fx_logs l left join fx_cases c on c.source_log_id = l.log_id left join e using (case_id) left join r using (case_id)""")
 def _trace_logs(s: Source):
-    traced = trace.trace_logs(
-        s("fx_logs").select("log_id"), s("fx_cases").select("case_id", "source_log_id", "status"), s("fx_edits"), s("fx_runs")
-    )
-    return traced.select(
+    edit = lambda e: F.concat_ws(":", e.edit_id, e.field_changed, e.before_value, e.after_value)
+    return _traced(s).select(
         "log_id", "case_id", "status", "edits", F.date_format("last_edit", "yyyy-MM-dd").alias("last_edit"),
-        "last_run", "last_passed", "stage",
+        "last_run", "last_passed", F.array_join(F.transform("history", edit), ",").alias("history"), "stage",
+    )
+
+
+def _traced(s: Source):
+    return trace.trace_logs(
+        s("fx_logs").select("log_id"), s("fx_cases").select("case_id", "source_log_id", "status"), s("fx_edits"), s("fx_runs")
     )
 
 
+@query("trace_in_order", """
+select l.log_id, c.case_id, row_number() over (order by c.case_id is null, l.log_id, c.case_id) as place
+from fx_logs l left join fx_cases c on c.source_log_id = l.log_id""")
+def _trace_in_order(s: Source):
+    return trace.in_demo_order(_traced(s).select("log_id", "case_id", "page")).select("log_id", "case_id", "place")
+
+
 # ---- vectors and clusters ----
 
 

@@ -62,16 +62,31 @@ def _representatives(s: Source):
     return clusters.representatives(s("fx_emb")).select("cluster_id", "log_id", "rank")
 
 
-@query("similarity_pairs", """
-select id, other_id, round(sim, 6) as similarity from (
-  select a.log_id as id, b.log_id as other_id, list_dot_product(a.v, b.v) as sim,
-         row_number() over (partition by a.log_id order by list_dot_product(a.v, b.v) desc, b.log_id) as n
-  from fx_blobs a join fx_blobs b on a.log_id <> b.log_id and list_dot_product(a.v, b.v) >= 0.92) where n = 1""")
+_DUCK_LINKS = """
+with p as (select {id} as id, cast({v} as double[]) as v, min({id}) over (partition by {v}) as class_id from {rows}),
+pairs as (select a.id, b.id as other_id, case when a.v = b.v then 1.0 else list_cosine_similarity(a.v, b.v) end as sim
+          from p a join p b on a.id <> b.id and list_cosine_similarity(a.v, b.v) >= {within}),
+best as (select id, count(*) as n_links, arg_min(other_id, [-sim, cast(substr(other_id, 5) as double)]) as other_id, max(sim) as similarity from pairs group by id)
+select p.id, class_id, coalesce(n_links, 0) as n_links, other_id, round(similarity, 6) as similarity from p left join best on best.id = p.id"""
+
+
+@query("similarity_pairs", _DUCK_LINKS.format(id="log_id", v="v", rows="fx_blobs", within=0.92))
 def _similarity_pairs(s: Source):
     found = vectors.similarity_pairs(_blobs(s), 0.92)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("similarity_pairs_raw", _DUCK_LINKS.format(id="log_id", v="embedding", rows="fx_emb", within=0.4))
+def _similarity_pairs_raw(s: Source):
+    """The given embeddings, of any length; they lie far apart, so the threshold is low."""
+    found = vectors.similarity_pairs(_raw(s), 0.4)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+def _raw(s: Source):
+    return s("fx_emb").select(F.col("log_id").alias("id"), F.col("embedding").alias("v"))
+
+
 def _blobs(s: Source):
     return s("fx_blobs").select(F.col("log_id").alias("id"), "v")
 
@@ -147,6 +162,19 @@ def _dedup_ordered(s: Source):
     return decided.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("dedup_ordered_raw", f"""
+with ranked as (select b.log_id as id, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) as v, weight
+                from (select log_id, cast(embedding as double[]) as w from fx_emb) b join (select log_id, {DUCK_WEIGHT} as weight from fx_logs l) l using (log_id)),
+existing as (select id, v from ranked where false), blocked as (select cast(null as bigint) as rn where false),
+{_DUCK_GREEDY.replace("0.92", "0.4")}
+select r.id, r.rn in (select rn from acc) as accepted, other as most_similar_id, round(sim, 6) as similarity
+from r left join best on best.rn = r.rn""")
+def _dedup_ordered_raw(s: Source):
+    weighted = s("fx_logs").select(F.col("log_id").alias("id"), rules.failure_weight().alias("score"))
+    decided = dedup.dedup_ordered(_raw(s).join(weighted, "id"), threshold=0.4)
+    return decided.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("dedup_rejections", f"""
 with {_DUCK_CASE_VECTORS},
 ranked as (select b.id, b.v, {DUCK_WEIGHT} as weight from fresh b join fx_logs l on l.log_id = b.id),
