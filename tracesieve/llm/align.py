@@ -72,7 +72,7 @@ class ByteBpe:
     def encode(self, units: list[str]) -> list[list[int]]:
         out = []
         for at in range(0, len(units), UNITS):
-            out += [e.ids for e in self.model.encode_batch([" " + u for u in units[at : at + UNITS]], add_special_tokens=False)]
+            out += [e.ids for e in self.model.encode_batch_fast([" " + u for u in units[at : at + UNITS]], add_special_tokens=False)]
         return out
 
 
@@ -196,13 +196,10 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _units(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct units, the unit numbers of all texts end to end, and where each text starts."""
-    known: dict[str, int] = {}
-    numbers, sizes = [], []
-    for text in texts:
-        own = [known.setdefault(u, len(known)) for u in UNIT_BREAK.split(text)] if text else []
-        numbers.append(np.array(own, np.int64))
-        sizes.append(len(own))
-    return list(known), np.concatenate([np.zeros(0, np.int64), *numbers]), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    parts = [UNIT_BREAK.split(text) if text else [] for text in texts]
+    coded = pa.array(chain.from_iterable(parts), pa.large_string()).dictionary_encode()
+    start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), start
 
 
 def align_chunk(ids: list, texts: list[str | None], chunk: int, a_path: str, b_path: str) -> pa.RecordBatch:

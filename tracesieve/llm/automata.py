@@ -47,9 +47,9 @@ class Automaton:
         arrays = [*layers, self.weight.astype(np.int64)]
         # Small differences in byte planes: the upper planes are nearly all zero.
         planes = [np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
-        text = b" ".join(w.encode() for w in self.words.to_pylist())
+        text = pc.binary_join(pa.LargeListArray.from_arrays([0, len(self.words)], self.words), pa.scalar(" ", _TEXT))[0].as_buffer().to_pybytes()
         head = np.array([self.depth, len(text), *map(len, arrays)], np.int64).tobytes()
-        return zstandard.ZstdCompressor(level=3).compress(head + text + b"".join(planes))
+        return zstandard.ZstdCompressor(level=1).compress(head + text + b"".join(planes))
 
 
 def from_bytes(data: bytes) -> Automaton:
@@ -57,7 +57,7 @@ def from_bytes(data: bytes) -> Automaton:
     depth, size = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     lengths = np.frombuffer(raw, np.int64, 3 * depth, 16)
     at = 16 + 24 * depth
-    words = pa.array(raw[at : at + size].decode().split(" "), _TEXT)
+    words = pc.list_flatten(pc.split_pattern(pa.array([raw[at : at + size]], pa.large_binary()).cast(_TEXT), " "))
     at, arrays = at + size, []
     for n in lengths:
         arrays.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, -1).T).view(np.int64).ravel())
@@ -81,7 +81,7 @@ def summed(ids: np.ndarray, weight: np.ndarray, n_words: int) -> tuple[np.ndarra
         key = np.zeros(len(ids), np.int64)
         for k in range(ids.shape[1]):
             key = (key << bits) | ids[:, k]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.diff(key[order], prepend=-1) != 0
     else:
         order = np.lexsort(ids.T[::-1])
@@ -108,8 +108,9 @@ def _shared(first: np.ndarray, symbol: np.ndarray, value: np.ndarray) -> np.ndar
 
 def build(words: pa.Array, ids: np.ndarray, weight: np.ndarray) -> Automaton:
     """The automaton of distinct sorted n-grams; the alphabet is cut to the words in use."""
-    used, ids = np.unique(ids, return_inverse=True)
-    words, ids = words.take(pa.array(used)), ids.reshape(-1, ids.shape[-1]).astype(np.int64)
+    used = np.zeros(len(words), bool)
+    used[ids.ravel()] = True
+    words, ids = words.take(pa.array(np.flatnonzero(used))), (np.cumsum(used) - 1)[ids]
     depth = ids.shape[1]
     differs = np.ones(ids.shape, bool)
     differs[1:] = ids[1:] != ids[:-1]

@@ -22,17 +22,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.llm import automata
 from tracesieve.llm.common import small_batches
 from tracesieve.llm.textarrays import mix
+from tracesieve.operators.ordering import number_rows
 from tracesieve.session import cut
 
 LEAST, TOP, LONGEST = 10, 2000, 3
 #: Words of a shard that are counted together; n-grams in a prefix range; one n-gram in so many marks the cuts.
-SHARD_WORDS, RANGE_NGRAMS, MARK_EVERY = 2_000_000, 400_000, 25_000
+SHARD_WORDS, RANGE_NGRAMS, MARK_EVERY = 2_000_000, 500_000, 25_000
 #: Bits of the bitmap of frequent n-grams: 8 MB at every size of the corpus.
 BITS = 1 << 26
 BREAK = "\n"
@@ -303,9 +304,9 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     held = phrases.where("size > 2").select("lang", "a", F.explode(_inner(words, F.col("size"))).alias("phrase"))
     held = held.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = weakest.join(held, ["lang", "phrase"], "left").where("longer is null or 100 * cast(longer as decimal(19,0)) < 50 * cast(a as decimal(19,0))")
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
+    ordered = kept.select("lang", (-F.col("cut.score")).alias("below"), (-F.col("a")).alias("rarer"), "phrase", "cut.l", "cut.r")
+    best = number_rows(ordered, ["below", "rarer", "phrase"], "rank", ["lang"]).where(F.col("rank") <= top)
+    return best.join(totals, "lang").select("lang", "rank", "phrase", (-F.col("rarer")).alias("a"), "l", "r", "n", (-F.col("below")).alias("score"))
 
 
 def _inner(words, size):
