@@ -15,14 +15,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracesieve.operators import vectors
 from tracesieve.operators.ordering import number_rows
-from tracesieve.operators.vectors import Want, as_double, neighbours
+from tracesieve.operators.vectors import Grid, Want, as_double, build_grid, neighbours
 from tracesieve.schemas import NOISE
 from tracesieve.session import cut
 
@@ -30,7 +31,6 @@ from tracesieve.session import cut
 COUNT_SELF = 0
 BAND = 200_000
 FLOOR = 1e-9
-FEW = 20_000
 
 
 def _fold_copies(rows: DataFrame) -> DataFrame:
@@ -39,105 +39,84 @@ def _fold_copies(rows: DataFrame) -> DataFrame:
     return rows.select("id", clean.alias("v")).withColumn("point", F.md5(F.to_json("v").cast("binary")))
 
 
-def core_distances(points: DataFrame, min_samples: int) -> DataFrame:
-    """Add ``core`` to weighted points (id, v, copies)."""
+def core_distances(points: DataFrame, grid: Grid, min_samples: int) -> DataFrame:
+    """Weighted points (id, v, copies) with ``core`` and ``ub``, the mutual reachability of a near point."""
     wanted = min_samples + 1 - COUNT_SELF
-    found = neighbours(points, points, Want(k=wanted))
+    found = cut(neighbours(points, grid, Want(k=wanted)))
     weights = points.select(F.col("id").alias("bid"), "copies")
     so_far = Window.partitionBy("qid").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    reached = (
+    reached = cut(
         found.join(weights, "bid").withColumn("seen", F.sum("copies").over(so_far))
         .filter(F.col("seen") >= wanted).groupBy(F.col("qid").alias("id")).agg(F.min("value").alias("core"))
     )
-    return points.join(reached, "id")
-
-
-def _contract_few(pointers: pd.DataFrame) -> pd.DataFrame:
-    to = dict(zip(pointers["grp"], pointers["to"]))
-    roots = {}
-    for start in to:
-        path, at = [], start
-        while at not in roots and not (to[to[at]] == at and at < to[at]):
-            path.append(at)
-            at = to[at]
-        root = roots.get(at, at)
-        roots.update(dict.fromkeys([*path, at], root))
-    return pd.DataFrame({"grp": list(roots), "root": list(roots.values())}, dtype=object)
+    near = (
+        found.filter("qid <> bid").join(reached.select(F.col("id").alias("qid"), "core"), "qid")
+        .join(reached.select(F.col("id").alias("bid"), F.col("core").alias("bcore")), "bid")
+        .groupBy(F.col("qid").alias("id")).agg(F.min(F.greatest("value", "core", "bcore")).alias("ub"))
+    )
+    return points.join(reached, "id").join(near, "id", "left")
 
 
 def contract(pointers: DataFrame) -> DataFrame:
-    """Roots of ``grp -> to`` pointers whose only cycles are mutual pairs.
-
-    Up to ``FEW`` pointers are followed on the driver, more by pointer jumping.
-    """
-    few = pointers.limit(FEW + 1).toPandas()
-    if len(few) <= FEW:
-        return pointers.sparkSession.createDataFrame(_contract_few(few), "grp string, root string")
+    """Roots of ``grp -> to`` pointers whose only cycles are mutual pairs, by pointer jumping."""
     back = pointers.select(F.col("grp").alias("to"), F.col("to").alias("back"))
     mutual = (F.col("back") == F.col("grp")) & (F.col("grp") < F.col("to"))
-    current = cut(
-        pointers.join(back, "to", "left")
-        .select("grp", F.when(mutual, F.col("grp")).otherwise(F.col("to")).alias("to"))
-    )
+    current = pointers.join(back, "to", "left").select("grp", F.when(mutual, F.col("grp")).otherwise(F.col("to")).alias("to"))
     while True:
-        onward = current.select(F.col("grp").alias("to"), F.col("to").alias("next"))
+        current = cut(current)
+        # two jumps a round: paths shorten to a third
+        second = current.select(F.col("grp").alias("to"), F.col("to").alias("next"))
+        third = current.select(F.col("grp").alias("next"), F.col("to").alias("last"))
         jumped = cut(
-            current.join(onward, "to", "left")
-            .select("grp", F.coalesce("next", "to").alias("root"), F.col("to").alias("was"))
+            current.join(second, "to", "left").withColumn("next", F.coalesce("next", "to"))
+            .join(third, "next", "left").select("grp", F.coalesce("last", "next").alias("root"), F.col("to").alias("was"))
         )
-        if not jumped.filter(F.col("root") != F.col("was")).limit(1).count():
+        if jumped.filter(F.col("root") != F.col("was")).isEmpty():
             return jumped.select("grp", "root")
         current = jumped.select("grp", F.col("root").alias("to"))
 
 
-def spanning_tree(points: DataFrame) -> DataFrame:
+def spanning_tree(points: DataFrame, grid: Grid) -> DataFrame:
     """Edges (a, b, w) of a minimum spanning tree of mutual reachability.
 
-    ``points``: id, v, core. Equal weights are ordered by the ids of their ends,
-    so the tree is unique.
+    ``points``: id, v, core, ub. Equal weights are ordered by the ids of their ends,
+    so the tree is unique. The nearest foreign point of a point stays so until its
+    component takes it in, and the next one is no nearer: a round only searches for points
+    that lost theirs and could still beat the best edge known to their component.
     """
-    n_points = points.count()
-    component = points.select("id", F.col("id").alias("grp"))
     tree = points.sparkSession.createDataFrame([], "a string, b string, w double")
     want = Want(metric="reach", other_group=True)
-    n_groups = n_points
-    bounds = None
-    if n_points > vectors.BLOCK:
-        # a near foreign point bounds the lightest edge of a component and prunes the join
-        core = points.select(F.col("id").alias("bid"), F.col("core").alias("bcore"))
-        bounds = cut(
-            neighbours(points, points, Want(k=4)).join(core, "bid")
-            .join(points.select(F.col("id").alias("qid"), "core"), "qid")
-            .select("qid", "bid", F.greatest("value", "core", "bcore").alias("w"))
+    grid = replace(grid, rows=cut(grid.rows.join(points.select("id", "core"), "id")))
+    component = points.select("id", F.col("id").alias("grp"))
+    # the nearest foreign point known (bid, its component ``to``), or a bound from below without one
+    known = points.select("id", F.lit(None).cast("string").alias("bid"), F.lit(0.0).alias("value"))
+    asks = points.select("id", "v", "core", F.col("id").alias("grp"), F.coalesce("ub", F.lit(float("inf"))).alias("ub"))
+    while True:
+        labelled = grid.relabelled(component)
+        found = neighbours(asks, labelled, want)
+        bounds = asks.select("id", "ub")
+        answers = bounds.join(found.select(F.col("qid").alias("id"), "bid", "value"), "id", "left").select(
+            "id", "bid", F.coalesce("value", "ub").alias("value")
         )
-    while n_groups > 1:
-        rows = points.join(component, "id")
-        if bounds is not None:
-            rows = _bounded(rows, component, bounds)
-        found = neighbours(rows, rows.drop("ub"), want)
-        ends = found.join(component.select(F.col("id").alias("qid"), "grp"), "qid").join(
-            component.select(F.col("id").alias("bid"), F.col("grp").alias("to")), "bid"
+        known = cut(known.join(asks.select("id"), "id", "left_anti").unionByName(answers))
+        ends = (
+            known.filter("bid is not null").join(component, "id")
+            .join(component.select(F.col("id").alias("bid"), F.col("grp").alias("to")), "bid").filter("grp <> to")
         )
-        edge = F.struct("value", F.least("qid", "bid").alias("a"), F.greatest("qid", "bid").alias("b"), "to")
+        edge = F.struct("value", F.least("id", "bid").alias("a"), F.greatest("id", "bid").alias("b"), "to")
         best = cut(ends.groupBy("grp").agg(F.min(edge).alias("e")))
-        chosen = best.select("e.a", "e.b", F.col("e.value").alias("w")).distinct()
+        tree = cut(tree.unionByName(best.select("e.a", "e.b", F.col("e.value").alias("w")).distinct()))
         roots = contract(best.select("grp", "e.to"))
         component = cut(component.join(roots, "grp").select("id", F.col("root").alias("grp")))
-        tree = cut(tree.unionByName(chosen))
-        n_groups = component.select("grp").distinct().count()
-    return tree
-
-
-def _bounded(rows: DataFrame, component: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Add ``ub``: the lightest known foreign edge of the row's component."""
-    left = component.select(F.col("id").alias("qid"), "grp")
-    right = component.select(F.col("id").alias("bid"), F.col("grp").alias("other"))
-    known = (
-        bounds.join(left, "qid").join(right, "bid").filter(F.col("grp") != F.col("other"))
-        .groupBy("grp").agg(F.min("w").alias("ub"))
-    )
-    limited = rows.join(known, "grp", "left").withColumn("ub", F.coalesce("ub", F.lit(float("inf"))))
-    return limited
+        if component.select("grp").distinct().limit(2).count() < 2:
+            return tree
+        to = component.select(F.col("id").alias("bid"), F.col("grp").alias("to"))
+        state = known.join(component, "id").join(to, "bid", "left").withColumn("valid", F.coalesce(F.col("grp") != F.col("to"), F.lit(False)))
+        ub = state.filter("valid").groupBy("grp").agg(F.min("value").alias("ub"))
+        stale = state.filter("not valid").join(ub, "grp", "left").withColumn("ub", F.coalesce("ub", F.lit(float("inf"))))
+        asks = cut(stale.filter("value <= ub").select("id", "grp", "ub").join(points.select("id", "v", "core"), "id"))
+        # a lost point leaves its distance as a bound from below
+        known = state.select("id", F.when(F.col("valid"), F.col("bid")).alias("bid"), "value")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -368,8 +347,9 @@ def density_cluster(
         keyed.groupBy("point").agg(F.first("v").alias("v"), F.count("*").alias("copies"), F.min("id").alias("first_id"))
         .withColumnRenamed("point", "id")
     )
-    points = cut(core_distances(folded, neighbours_wanted))
-    tree = spanning_tree(points)
+    grid = build_grid(folded.select("id", "v"), k=neighbours_wanted + 1 - COUNT_SELF)
+    points = cut(core_distances(folded, grid, neighbours_wanted))
+    tree = spanning_tree(points, grid)
     clusters, placed = _hierarchy(points, tree, min_cluster_size, band)
     chosen = _topmost_kept(clusters).filter(F.col("chosen").isNotNull())
     strength = clusters.select(F.col("cluster").alias("chosen"), F.col("opened").alias("top"))
