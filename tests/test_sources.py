@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracesieve.schemas import CASE, LOG
-from tracesieve.sources import export, tables
+from tracesieve.sources import export, snapshots, tables
 from tracesieve.streaming import ingest
 from workload.stage_queries import _case_table, _log_table
 from workload.table_queries import as_of
@@ -54,7 +54,7 @@ def test_export_versions_and_changelog(spark, source, tmp_path):
     lines = [r.value for r in spark.read.text(f"{path}/eval_dataset_v1").collect()]
     assert all("rubric" in json.loads(line) for line in lines)  # nulls are kept
     diff = export.export_diff(cases.filter("status = 'approved'"), None)
-    entry = spark.read.parquet(f"{path}/changelog").filter("version = 1")
+    entry = export.changelog(spark, path).filter("version = 1")
     note = export.render_changelog(entry, diff, listed=2).first().text
     assert note.startswith("## v1 ") and f"- added ({first.total}): case_" in note and note.endswith("- initial export")
 
@@ -69,10 +69,47 @@ def test_export_keeps_every_changed_id(spark, source, tmp_path):
     assert got[0] == {(f"id_{i}", "added") for i in range(130)}
     assert got[1] == {("id_0", "removed"), ("id_129", "removed"), ("new", "added")}
     assert (second.first().added, second.first().removed) == (1, 2)
-    text = export.render_changelog(spark.read.parquet(f"{path}/changelog").filter("version = 1"), export.changes(spark, path, 1)).first().text
+    text = export.render_changelog(export.changelog(spark, path).filter("version = 1"), export.changes(spark, path, 1)).first().text
     assert "- added (130): " in text and "all in changes" in text
 
 
+def test_a_stopped_export_leaves_no_version(spark, source, tmp_path, monkeypatch):
+    path, cases = str(tmp_path / "exports"), _case_table(source)
+    export.export_versioned(cases, path, as_of())
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    for step in ("export_diff", "changelog_entry"):  # after the lines, after the changes
+        with monkeypatch.context() as patch:
+            patch.setattr(export, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                export.export_versioned(cases.filter("status = 'draft'"), path, as_of())
+        assert export.versions(spark, path) == [1] and export.changelog(spark, path).count() == 1
+    assert len(snapshots.abandoned(spark, path)) == 2
+    again = export.export_versioned(cases.filter("status = 'draft'"), path, as_of()).first()
+    assert (again.version, again.total) == (2, 0) and export.changes(spark, path, 2).count() == again.removed > 0
+
+
+def test_two_exports_of_one_version_do_not_mix(spark, source, tmp_path, monkeypatch):
+    path, cases = str(tmp_path / "exports"), _case_table(source)
+    export.export_versioned(cases, path, as_of())
+    monkeypatch.setattr(export, "versions", lambda *_: [])  # as another job saw the folder before
+    with pytest.raises(FileExistsError):
+        export.export_versioned(cases, path, as_of())
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "k string, v int, seq int")
+    assert snapshots.upsert_table(spark, path, batch, "k", "seq") == 1
+    assert snapshots.upsert_table(spark, path, batch, "k", "seq") == 2  # as after a restart
+    snapshots.upsert_table(spark, path, spark.createDataFrame([("b", 9, 1), ("c", 4, 1)], batch.schema), "k", "seq")
+    rows = lambda *v: sorted(map(tuple, snapshots.read_snapshot(spark, path, batch.drop("seq").schema, *v).collect()))
+    assert rows(1) == rows(2) == [("a", 2), ("b", 3)] and rows() == [("a", 2), ("b", 9), ("c", 4)]
+    assert snapshots.read_snapshot(spark, str(tmp_path / "none"), batch.schema).count() == 0
+
+
 def test_stream_resumes_and_replaces(spark, source, tmp_path):
     places = [str(tmp_path / x) for x in ("in", "logs", "ckpt")]
     logs = _log_table(source).filter("length(prompt) > 0 and length(response) > 0")

@@ -77,8 +77,7 @@ def sequential_cases(rows):
         reply = ask(modelmap.LABEL_SYSTEM[eval_type], user).replace("```json\n", "").replace("\n```", "")
         try:
             label = json.loads(reply)
-            shown = (f"expected_behavior: {label['expected_behavior']}" if "expected_behavior" in label
-                     else "rubric:\n" + "\n".join(f"  - {x}" for x in label["rubric"]))
+            shown = f"= {label['expected_behavior']}" if "expected_behavior" in label else "\n".join(f"+ {x}" for x in label["rubric"])
             score = json.loads(ask(modelmap.QUALITY_SYSTEM, f"eval_type: {eval_type}\n\n{shown}"))["quality_score"]
         except ValueError:
             outcome[r["log_id"]] = "failed"

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracesieve.functions import rules, text
 from tracesieve.operators.clusters import cluster_sizes, representatives
 from tracesieve.schemas import CLUSTER_REPLY, LABEL_REPLY, NOISE, QUALITY_REPLY
-from tracesieve.session import cut
+from tracesieve.session import checkpoint_dir, cut
 
 # A batch of (system, user) prompts in, one reply per prompt out.
 Model = Callable[[Sequence[tuple[str, str]]], Sequence[str]]
@@ -21,6 +22,8 @@ Model = Callable[[Sequence[tuple[str, str]]], Sequence[str]]
 # Retry pacing.
 MAX_RETRIES, BASE_DELAY, MAX_DELAY, JITTER = 4, 1.0, 20.0, 0.25
 LABEL_PASSES_HARD = 3
+#: Calls whose answers are committed together.
+WAVE = 100_000
 EMPTY = "empty reply"
 
 
@@ -29,71 +32,91 @@ def prompt_hash(stage: str, system: Column, user: Column, attempt: Column) -> Co
     return F.sha2(F.to_json(F.struct(F.lit(stage).alias("s"), system.alias("p"), user.alias("u"), attempt.alias("n"))), 256)
 
 
-def _ask(model: Model, prompts: list[tuple[str, str]], retries: int, base_delay: float) -> list[tuple[str | None, str | None]]:
+def _ask(model: Model, prompts: list[tuple[str, str]]) -> list[tuple[str | None, str | None]]:
     """(reply, error) per prompt: one batch call, then single calls for a failing batch."""
-    for attempt in range(retries + 1):
-        try:
-            replies = list(model(prompts))
-            if len(replies) != len(prompts):
-                raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
-            return [(r, None if r and r.strip() else EMPTY) for r in replies]
-        except Exception as error:  # noqa: BLE001 - an error becomes a column, not a failed job
-            if len(prompts) > 1:
-                return [_ask(model, [p], retries, base_delay)[0] for p in prompts]
-            failure = f"{type(error).__name__}: {error}"
-            if attempt < retries:
-                delay = min(MAX_DELAY, base_delay * 2**attempt)
-                time.sleep(delay * (1 + random.uniform(0, JITTER)))
-    return [(None, failure)]
+    try:
+        replies = list(model(prompts))
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+        return [(r, None if r and r.strip() else EMPTY) for r in replies]
+    except Exception as error:  # noqa: BLE001 - an error becomes a column, not a failed job
+        if len(prompts) > 1:
+            return [_ask(model, [p])[0] for p in prompts]
+        return [(None, f"{type(error).__name__}: {error}")]
+
+
+_STORED = "call_id string, attempt int, reply string, error string"
+
+
+def stored_answers(spark: SparkSession, path: str) -> DataFrame:
+    """(call_id, attempt, reply, error): the last attempt of every call in an answer store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], _STORED)
+    last = F.max_by(F.struct("reply", "error"), "attempt")
+    rows = spark.read.schema(_STORED).parquet(path).groupBy("call_id").agg(F.max("attempt").alias("attempt"), last.alias("a"))
+    return rows.select("call_id", "attempt", "a.reply", "a.error")
 
 
 def llm_map(
     prompts: DataFrame, model: Model, stage: str, answered: DataFrame | None = None,
     partitions: int | None = None, batch: int = 64, retries: int = MAX_RETRIES, base_delay: float = BASE_DELAY,
-    check: Callable[[Column], Column] | None = None,
+    check: Callable[[Column], Column] | None = None, store: str | None = None, wave: int = WAVE,
 ) -> DataFrame:
     """Ask the model once per row: call_id, reply, error.
 
-    ``prompts``: call_id, system, user. Rows in ``answered`` (an earlier result
-    of the same stage, by call_id) without error are not asked again. The result
-    is written to the checkpoint folder, so later steps do not repeat calls.
-    ``partitions`` bounds how many calls run at the same time. ``check`` gives what
-    is wrong with a reply (null: nothing). Empty and wrong replies are asked again,
-    up to ``retries`` times; the last reply stays.
+    ``prompts``: call_id, system, user. Answers go to an append-only ``store`` (a folder
+    that all executors reach, by default a new one in the checkpoint folder), under the
+    ``stage`` and by ``call_id``, one commit for every ``wave`` calls. A job that starts
+    again with the same store asks only what is not in it. Errors, empty replies and those
+    that ``check`` finds fault with (null: none) are asked again, up to ``retries`` times
+    over all starts, with growing pauses between the rounds; the last reply stays. Rows in
+    ``answered`` (an earlier result, by call_id) without error are not asked.
+    ``partitions`` bounds how many calls run at the same time.
     """
-    faulty = F.col("error") == EMPTY
+    spark = prompts.sparkSession
+    path = f"{store or f'{checkpoint_dir(spark)}/answers-{uuid.uuid4().hex}'}/{stage}"
+    faulty = F.col("error").isNotNull()
     if check is not None:
-        faulty = faulty | (F.col("error").isNull() & check(F.col("reply")).isNotNull())
+        faulty = faulty | check(F.col("reply")).isNotNull()
     todo = prompts.select("call_id", "system", "user").dropDuplicates(["call_id"])
     done = None
     if answered is not None:
-        done = answered.filter(F.col("error").isNull() & ~F.coalesce(faulty, F.lit(False))).select("call_id", "reply", "error")
+        done = answered.filter(~F.coalesce(faulty, F.lit(False))).select("call_id", "reply", "error")
         todo = todo.join(done.select("call_id"), "call_id", "left_anti")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
-                answers = _ask(model, list(zip(part["system"], part["user"])), retries, base_delay)
-                reply, error = zip(*answers)
-                yield pd.DataFrame({"call_id": part["call_id"].to_list(), "reply": reply, "error": error}, dtype=object)
-
-    def ask(rows: DataFrame) -> DataFrame:
-        rows = rows.repartition(partitions) if partitions else rows
-        return cut(rows.mapInPandas(call, "call_id string, reply string, error string"))
-
-    fresh = ask(todo)
-    for _ in range(retries):
-        bad = fresh.filter(faulty).select("call_id")
-        if bad.isEmpty():
+                reply, error = zip(*_ask(model, list(zip(part["system"], part["user"]))))
+                yield pd.DataFrame({"call_id": part["call_id"].to_list(), "attempt": part["attempt"].to_list(), "reply": reply, "error": error}, dtype=object)
+
+    for turn in range(retries + 1):
+        known = stored_answers(spark, path)
+        open_ = known.filter(F.coalesce(faulty, F.lit(False)) & (F.col("attempt") <= retries)).select("call_id", "attempt")
+        asks = todo.join(known.select("call_id"), "call_id", "left_anti").withColumn("attempt", F.lit(1)).unionByName(
+            todo.join(open_, "call_id").withColumn("attempt", F.col("attempt") + 1)
+        )
+        asks = cut(asks)
+        n = asks.count()
+        if not n:
             break
-        again = ask(todo.join(bad, "call_id", "left_semi"))
-        fresh = cut(fresh.join(bad, "call_id", "left_anti").unionByName(again))
+        if turn and base_delay:
+            time.sleep(min(MAX_DELAY, base_delay * 2 ** (turn - 1)) * (1 + random.uniform(0, JITTER)))
+        waves = -(-n // wave)
+        for k in range(waves):
+            part = asks.filter(F.pmod(F.xxhash64("call_id"), F.lit(waves)) == k)
+            part = part.repartition(partitions) if partitions else part
+            part.mapInPandas(call, _STORED).write.mode("append").parquet(path)
+    fresh = cut(stored_answers(spark, path).join(todo.select("call_id"), "call_id", "left_semi").select("call_id", "reply", "error"))
     return fresh if done is None else fresh.unionByName(done)
 
 
 # ---- cluster names ----
 
+# What stands in for a missing name; the quality report looks for them.
+UNNAMED, FAILED_NAME = "cluster_%d_unlabeled", "(labeling failed)"
 CLUSTER_SYSTEM = (
     "Name the topic that a group of user prompts has in common. Answer with one JSON object: "
     '{"label": "<two to four words>", "description": "<one sentence>"}.'
@@ -122,8 +145,8 @@ def label_clusters(assigned: DataFrame, prompts: DataFrame, model: Model, k: int
     sizes = cluster_sizes(assigned).filter(F.col("cluster_id") != NOISE)
     return sizes.join(named, "cluster_id", "left").select(
         "cluster_id",
-        F.coalesce("r.value.label", F.format_string("cluster_%d_unlabeled", "cluster_id")).alias("label"),
-        F.when(F.col("r.value.label").isNull(), "(labeling failed)").otherwise(F.col("r.value.description")).alias("description"),
+        F.coalesce("r.value.label", F.format_string(UNNAMED, "cluster_id")).alias("label"),
+        F.when(F.col("r.value.label").isNull(), FAILED_NAME).otherwise(F.col("r.value.description")).alias("description"),
         "size",
     )
 
@@ -153,7 +176,7 @@ def generate_labels(candidates: DataFrame, model: Model, guidance: DataFrame | N
 
     ``candidates``: log_id, system_prompt, prompt, feature_name, eval_type,
     difficulty. ``guidance``: eval_type, guidance. Adds expected_behavior,
-    rubric, forbidden_assertions, tags, n_passes, agreed and error.
+    rubric, forbidden_assertions, tags, n_passes, agreed, error and replied (any pass gave a text).
     """
     passes = F.when(F.col("difficulty") == "hard", LABEL_PASSES_HARD).otherwise(1)
     rows = candidates.withColumn("n_passes", passes)
@@ -174,15 +197,17 @@ def generate_labels(candidates: DataFrame, model: Model, guidance: DataFrame | N
     replies = llm_map(asked, model, "label", check=lambda r: text.parse_model_json(r, LABEL_REPLY)["error"], **options)
     parsed = text.parse_model_json(F.col("reply"), LABEL_REPLY)
     answers = asked.join(replies, "call_id", "left").select(
-        "log_id", "eval_type", "pass", parsed["value"].alias("label"), F.coalesce("error", parsed["error"]).alias("error")
+        "log_id", "eval_type", "pass", parsed["value"].alias("label"), F.coalesce("error", parsed["error"]).alias("error"),
+        F.coalesce(F.col("reply") != "", F.lit(False)).alias("replied"),
     )
     # at most three passes per log
     grouped = answers.groupBy("log_id", "eval_type").agg(
-        F.sort_array(F.collect_list(F.struct("pass", "label"))).alias("p"), F.max("error").alias("error")
+        F.sort_array(F.collect_list(F.struct("pass", "label"))).alias("p"), F.max("error").alias("error"),
+        F.max("replied").alias("replied"),
     )
     final = F.element_at("p", -1)["label"]
     labels = grouped.select(
-        "log_id", "error",
+        "log_id", "error", "replied",
         final["expected_behavior"].alias("expected_behavior"), final["rubric"].alias("rubric"),
         F.when(F.size(final["forbidden_assertions"]) > 0, final["forbidden_assertions"]).alias("forbidden_assertions"),
         F.coalesce(final["tags"], F.array().cast("array<string>")).alias("tags"),

@@ -107,10 +107,14 @@ def _exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", diff, diff))
 
 
+def no_rows(*columns: str) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+
+
 def _best(q: pd.DataFrame, b: pd.DataFrame, want: Want) -> pd.DataFrame:
     """The ``k`` best base rows of each query row of two blocks."""
     if not len(q) or not len(b):
-        return pd.DataFrame({"qid": [], "bid": [], "key": []})
+        return no_rows("qid", "bid", "key")
     base, base_ids = _matrix(b["v"]), b["id"].to_numpy(dtype=object)
     base_sq = np.einsum("ij,ij->i", base, base)
     q_ids = q["id"].to_numpy(dtype=object)
@@ -283,10 +287,11 @@ def _in_rings(placed: DataFrame, block: int) -> DataFrame:
     return ringed.join(F.broadcast(parts), ["cell", "ring"]).withColumn("block", block_name).drop("ring", "parts")
 
 
-def plan_visits(queries: DataFrame, grid: Grid, want: Want, all_within: bool = False) -> DataFrame:
+def plan_visits(queries: DataFrame, grid: Grid, want: Want, all_within: bool = False, ignore_order: bool = False) -> DataFrame:
     """Queries (id, v, columns of ``want``, optional upper bound ``ub``) with their block and the base blocks left open.
 
-    ``all_within`` keeps every block that may hold a row within ``want.within``, not only those of the ``k`` nearest.
+    ``all_within`` keeps every block that may hold a row within ``want.within``, not only those of the ``k``
+    nearest; ``ignore_order`` also keeps those whose rows all come later.
     """
     columns = ["id", "v", *want.optional]
     queries = usable(queries.select(*columns, *[c for c in queries.columns if c == "ub"]), want.metric, False)
@@ -313,7 +318,7 @@ def plan_visits(queries: DataFrame, grid: Grid, want: Want, all_within: bool = F
                 bound = (bound + SLACK * (1 + size + np.sqrt((vectors ** 2).sum(1))))[:, None]
                 own = d[:, cell]
                 open_ = (own - high <= bound) & (low - own <= bound)
-                if want.earlier:
+                if want.earlier and not ignore_order:
                     open_ &= first <= pdf["ord"].to_numpy()[:, None]
                 if want.other_group:
                     open_ &= pdf["grp"].to_numpy(dtype=object)[:, None] != group
@@ -381,7 +386,7 @@ def fold_copies(rows: DataFrame) -> DataFrame:
 def _links(q: pd.DataFrame, b: pd.DataFrame, within: float) -> pd.DataFrame:
     """Per query of two blocks of points: rows it links with, and the best of them."""
     if not len(q) or not len(b):
-        return pd.DataFrame({"qid": [], "links": [], "key": [], "bid": []})
+        return no_rows("qid", "links", "key", "bid")
     base, copies, names, ids = _matrix(b["v"]), b["copies"].to_numpy(), b["class_id"].to_numpy(dtype=object), b["id"].to_numpy(dtype=object)
     order = np.argsort(names)
     base, copies, names, ids = base[order], copies[order], names[order], ids[order]
@@ -400,10 +405,9 @@ def _links(q: pd.DataFrame, b: pd.DataFrame, within: float) -> pd.DataFrame:
         value = -_exact(vectors[rows], base[cols], "cosine")
         place = np.lexsort((cols, -value, rows))
         first = place[np.unique(rows[place], return_index=True)[1]]
-        out.append(pd.DataFrame({
-            "qid": q["id"].to_numpy(dtype=object)[start + rows[first]], "links": (near @ copies)[rows[first]], "key": -value[first], "bid": names[cols[first]],
-        }))
-    return pd.concat(out)
+        out.append((q["id"].to_numpy(dtype=object)[start + rows[first]], (near @ copies)[rows[first]], -value[first], names[cols[first]]))
+    qid, links, key, bid = map(np.concatenate, zip(*out))
+    return pd.DataFrame({"qid": pd.Series(qid, dtype=object), "links": links, "key": key, "bid": pd.Series(bid, dtype=object)})
 
 
 def similarity_pairs(vectors: DataFrame, threshold: float) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.rules import APPROVE_AT, decide_difficulty, decide_eval_type, route_cases
 from tracesieve.functions.text import stable_id
-from tracesieve.operators.dedup import THRESHOLD, dedup_ordered, dedup_rejections, shadowed
+from tracesieve.operators.dedup import THRESHOLD, arrange, decide_again, dedup_rejections, first_decision, outcome
 from tracesieve.operators.modelmap import Model, generate_labels, judge_labels
 from tracesieve.operators.quality import validate_cases
 from tracesieve.schemas import CASE
-from tracesieve.session import cut
+from tracesieve.operators.vectors import usable
+from tracesieve.session import checkpoint_dir, cut
 
 
 def candidates_with_logs(candidates: DataFrame, logs: DataFrame) -> DataFrame:
@@ -33,63 +36,68 @@ def build_cases(
     approve_at: float = APPROVE_AT,
     **options,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cases, dedup rejections and the outcome of every candidate.
+    """Cases, dedup rejections and the outcome of every candidate with its reason.
 
     ``candidates``: log_id, cluster_id, value_score. ``vectors`` and
     ``existing``: id, v. Duplicates are dropped before any model call. A
-    candidate whose label fails must not shadow a later near-copy, so dedup is
-    repeated without the failed ones until none is new; labels are kept between
-    the repeats and never asked twice.
+    candidate whose label fails must not shadow a later near-copy: only the rows
+    near it and after it are decided again, and what they change in turn. Labels are
+    kept and never asked twice; ``options`` go to ``llm_map``, so with ``store`` a
+    job that starts again asks only the rest. If a round of calls brings no text at
+    all, the model is taken for dead and nothing more is asked. A candidate without a log
+    or a usable vector fails with that reason.
     """
+    options.setdefault("store", f"{checkpoint_dir(candidates.sparkSession)}/answers-{uuid.uuid4().hex}")
     joined = cut(candidates_with_logs(candidates.select("log_id", "cluster_id", "value_score"), logs))
     typed = cut(
         joined.filter("found").withColumns({"eval_type": decide_eval_type(), "difficulty": decide_difficulty()})
         .drop("found")
     )
-    ranked = cut(
-        typed.select(F.col("log_id").alias("id"), F.col("value_score").alias("score"))
-        .join(vectors.select("id", "v"), "id")
-    )
-    labelled = None
-    failed = typed.limit(0).select("log_id")
+    ranked = cut(usable(
+        typed.select(F.col("log_id").alias("id"), F.col("value_score").alias("score")).join(vectors.select("id", "v"), "id"), "euclidean", True,
+    ))
+    rows = arrange(ranked, existing, threshold)
+    accepted = first_decision(rows)
+    labelled = _as_cases(typed.limit(0).withColumns({
+        "expected_behavior": F.lit(None).cast("string"), "rubric": F.lit(None).cast("array<string>"),
+        "forbidden_assertions": F.lit(None).cast("array<string>"), "tags": F.lit(None).cast("array<string>"),
+        "confidence_score": F.lit(None).cast("double"), "error": F.lit(None).cast("string"), "replied": F.lit(True),
+    }), as_of, approve_at)
+    dead = False
     while True:
-        open_ = ranked.join(failed.select(F.col("log_id").alias("id")), "id", "left_anti")
-        decided = cut(dedup_ordered(open_, existing, threshold))
-        accepted = decided.filter("accepted").select(F.col("id").alias("log_id"))
-        todo = typed.join(accepted, "log_id")
-        if labelled is not None:
-            todo = todo.join(labelled.select("log_id"), "log_id", "left_anti")
-        todo = cut(todo)
-        if not todo.limit(1).count():
+        todo = cut(typed.join(accepted.select(F.col("id").alias("log_id")), "log_id").join(labelled.select("log_id"), "log_id", "left_anti"))
+        if todo.isEmpty():
             break
         fresh = cut(_as_cases(judge_labels(generate_labels(todo, model, guidance, **options), model, **options), as_of, approve_at))
-        labelled = fresh if labelled is None else cut(labelled.unionByName(fresh))
-        failed = labelled.filter("error is not null").select("log_id")
-        if not fresh.filter("error is not null").limit(1).count():
+        labelled = cut(labelled.unionByName(fresh))
+        bad = fresh.filter("error is not null").select(F.col("log_id").alias("id"))
+        dead = fresh.filter("replied").isEmpty()
+        if dead or bad.isEmpty():
             break
-    # a failed candidate counts as a duplicate if a near-copy before it was accepted after all
-    dropped = ranked.join(failed.select(F.col("log_id").alias("id")), "id", "left_semi")
-    winners = ranked.join(accepted.select(F.col("log_id").alias("id")), "id", "left_semi")
-    decided = cut(
-        decided.join(dropped.select("id"), "id", "left_anti")
-        .unionByName(shadowed(dropped, winners, existing, threshold))
-    )
+        failed = labelled.filter("error is not null").select(F.col("log_id").alias("id"))
+        accepted = decide_again(rows, accepted, failed, bad)
+    good = accepted.join(labelled.filter("error is null").select(F.col("log_id").alias("id")), "id", "left_semi")
+    # a row that failed, or was not tried, counts as a duplicate if a near row before it made a case
+    decided = cut(outcome(rows, cut(good)).filter("accepted or most_similar_id is not null"))
     rejected = dedup_rejections(decided, as_of, threshold)
-    if labelled is None:
-        labelled = _as_cases(typed.limit(0).withColumns({
-            "expected_behavior": F.lit(None).cast("string"), "rubric": F.lit(None).cast("array<string>"),
-            "forbidden_assertions": F.lit(None).cast("array<string>"), "tags": F.lit(None).cast("array<string>"),
-            "confidence_score": F.lit(None).cast("double"), "error": F.lit(None).cast("string"),
-        }), as_of, approve_at)
-    kept = labelled.filter("error is null").join(accepted, "log_id", "left_semi")
+    kept = labelled.filter("error is null").join(good.select(F.col("id").alias("log_id")), "log_id", "left_semi")
     cases = kept.select([f.name for f in CASE.fields])
-    outcomes = joined.select("log_id").join(kept.select("log_id", "status"), "log_id", "left").join(
-        rejected.select(F.col("source_log_id").alias("log_id"), F.lit(True).alias("dup")), "log_id", "left"
-    ).select(
+    known = ranked.select(F.col("id").alias("log_id"), F.lit(True).alias("has_vector"))
+    outcomes = (
+        joined.select("log_id", "found").join(known, "log_id", "left").join(kept.select("log_id", "status"), "log_id", "left")
+        .join(rejected.select(F.col("source_log_id").alias("log_id"), F.col("reason").alias("dup")), "log_id", "left")
+        .join(labelled.select("log_id", "error"), "log_id", "left")
+    )
+    reason = (
+        F.when(F.col("status").isNotNull(), F.lit(None).cast("string")).when(F.col("dup").isNotNull(), F.col("dup"))
+        .when(~F.col("found"), "no log").when(F.col("has_vector").isNull(), "no usable vector")
+        .otherwise(F.coalesce("error", F.lit("not tried: the model gave no answers")))
+    )
+    return cases, rejected, outcomes.select(
         "log_id", "status",
-        F.when(F.col("status").isNotNull(), "created").when(F.col("dup"), "deduped").otherwise("failed").alias("outcome"),
+        F.when(F.col("status").isNotNull(), "created").when(F.col("dup").isNotNull(), "deduped").otherwise("failed").alias("outcome"),
+        reason.alias("reason"),
     )
-    return cases, rejected, outcomes
 
 
 def _as_cases(judged: DataFrame, as_of: Column, approve_at: float) -> DataFrame:
@@ -105,7 +113,7 @@ def _as_cases(judged: DataFrame, as_of: Column, approve_at: float) -> DataFrame:
         "revises_case_id": F.lit(None).cast("string"),
     })
     routed = route_cases(shaped, as_of, approve_at)
-    keep = ["log_id", "error", *[f.name for f in CASE.fields]]
+    keep = ["log_id", "error", "replied", *[f.name for f in CASE.fields]]
     fine = routed.filter("error is null").select(*keep)
     broken = routed.filter("error is not null").select(*keep)
     valid, invalid = validate_cases(fine)

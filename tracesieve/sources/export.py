@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_VERSION = re.compile(r"eval_dataset_v(\d+)$")
+from tracesieve.sources.snapshots import commit, committed
 
 
 def export_record(cases: DataFrame, as_of: Column) -> DataFrame:
@@ -19,15 +18,15 @@ def export_record(cases: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+ENTRY = T.StructType([
+    T.StructField("version", T.IntegerType()), T.StructField("exported_at", T.TimestampNTZType()), T.StructField("total", T.LongType()),
+    T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("note", T.StringType()),
+])
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
-    """Version numbers in an export folder, from its directory names."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    return sorted(int(m.group(1)) for m in map(_VERSION.search, names) if m)
+    """Numbers of the exports under ``path``, from the names of its folders."""
+    return committed(spark, path, "eval_dataset_v")
 
 
 def export_diff(current: DataFrame, previous: DataFrame | None) -> DataFrame:
@@ -60,7 +59,7 @@ def changelog_entry(current: DataFrame, diff: DataFrame, version: int, as_of: Co
 def render_changelog(entry: DataFrame, diff: DataFrame, listed: int = 50) -> DataFrame:
     """An entry as text; it names the first ids of each kind and counts them all.
 
-    Every id is in the table that ``export_versioned`` writes to ``path/changes``.
+    Every id is in the table that ``changes`` reads.
     """
     def first(change: str) -> Column:
         names = diff.filter(F.col("change") == change).orderBy("case_id").limit(listed)
@@ -82,27 +81,38 @@ def render_changelog(entry: DataFrame, diff: DataFrame, listed: int = 50) -> Dat
 
 def changes(spark: SparkSession, path: str, version: int) -> DataFrame:
     """case_id and change of every case that a version added or removed."""
-    rows = spark.read.schema("case_id string, change string, version int").parquet(f"{path}/changes")
-    return rows.filter(F.col("version") == version).select("case_id", "change")
+    return spark.read.schema("case_id string, change string").parquet(f"{path}/eval_dataset_v{version}/_changes")
+
+
+def changelog(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of all versions."""
+    known = versions(spark, path)
+    if not known:
+        return spark.createDataFrame([], ENTRY)
+    return spark.read.schema(ENTRY).parquet(*[f"{path}/eval_dataset_v{v}/_entry" for v in known])
 
 
 def export_versioned(cases: DataFrame, path: str, as_of: Column) -> DataFrame:
     """Write the approved cases as the next version; returns the changelog row.
 
-    JSON lines go to ``path/eval_dataset_v{n}``, every added and removed id (case_id,
-    change, version) to ``path/changes`` and the entry to ``path/changelog``. Nulls are kept, and no cases give a valid empty export.
+    JSON lines go to ``path/eval_dataset_v{n}``, with every added and removed id (case_id,
+    change) in ``_changes`` and the entry in ``_entry`` of the same folder; the three appear
+    together by one rename, so no version lacks its entry. Nulls are kept, and no cases
+    give a valid empty export.
     """
     spark = cases.sparkSession
     known = versions(spark, path)
     version = max(known, default=0) + 1
     records = export_record(cases.filter(F.col("status") == "approved"), as_of)
-    target = f"{path}/eval_dataset_v{version}"
-    records.write.option("ignoreNullFields", "false").json(target)
-    written = spark.read.schema(records.schema).json(target)
-    previous = None
-    if version - 1 in known:
-        previous = spark.read.schema("case_id string").json(f"{path}/eval_dataset_v{version - 1}")
-    export_diff(written, previous).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{path}/changes")
-    entry = changelog_entry(written, changes(spark, path, version), version, as_of)
-    entry.write.mode("append").parquet(f"{path}/changelog")
-    return spark.read.parquet(f"{path}/changelog").filter(F.col("version") == version)
+    previous = spark.read.schema("case_id string").json(f"{path}/eval_dataset_v{version - 1}") if known else None
+
+    def write(staging: str) -> None:
+        records.write.option("ignoreNullFields", "false").json(staging)
+        written = spark.read.schema(records.schema).json(staging)
+        export_diff(written, previous).write.parquet(f"{staging}/_changes")
+        diff = spark.read.schema("case_id string, change string").parquet(f"{staging}/_changes")
+        entry = changelog_entry(written, diff, version, as_of)
+        entry.select([F.col(f.name).cast(f.dataType) for f in ENTRY.fields]).write.parquet(f"{staging}/_entry")
+
+    commit(spark, path, f"eval_dataset_v{version}", write)
+    return changelog(spark, path).filter(F.col("version") == version)

@@ -15,12 +15,12 @@ from tracesieve.plans import cases as building
 from tracesieve.plans import evaluation
 from tracesieve.schemas import CASE, LOG
 from tracesieve.session import checkpoint_dir
-from tracesieve.sources import export, tables
+from tracesieve.sources import export, snapshots, tables
 from tracesieve.streaming import ingest
 from workload.registry import Source, query
 from workload.table_queries import _cases_for_review, as_of
-from workload.text_queries import DUCK_WEIGHT
-from workload.vector_queries import _DUCK_SCORED, _DUCK_U, _blobs
+from workload.text_queries import DUCK_JUDGE_PROMPT, DUCK_WEIGHT
+from workload.vector_queries import _CENTROIDS, _DIST, _DUCK_SCORED, _DUCK_U, _blobs
 
 
 def _scratch(s: Source) -> str:
@@ -99,7 +99,11 @@ select case_id, arg_max(field_changed, [epoch(edit_ts) * 1e9, cast(substr(edit_i
 where case_id not in (select case_id from fx_cases) group by case_id""")
 def _upsert_by_key(s: Source):
     batch = s("fx_edits").select("case_id", F.col("field_changed").alias("status"), F.struct("edit_ts", "edit_id").alias("seq"))
-    return tables.upsert_by_key(s("fx_cases").select("case_id", "status"), batch, "case_id", "seq")
+    path = _scratch(s)
+    first = s("fx_cases").select("case_id", "status", F.lit(0).alias("seq"))
+    for rows in (first, batch, batch.filter("case_id is null")):  # a batch without rows changes nothing
+        snapshots.upsert_table(s.spark, path, rows, "case_id", "seq")
+    return snapshots.read_snapshot(s.spark, path, first.drop("seq").schema)
 
 
 @query("lookup_cases", """
@@ -369,11 +373,19 @@ def _llm_map(s: Source):
     return keyed.join(answers, "call_id").select("doc_id", "reply", "error")
 
 
-@query("label_clusters", """
-select cluster_id, count(*) as size from fx_emb where cluster_id <> -1 group by cluster_id""")
+@query("label_clusters", f"""
+with {_CENTROIDS},
+near as (select e.cluster_id, log_id, row_number() over (partition by e.cluster_id order by {_DIST.format('embedding', 'centroid')}, log_id) as rank
+         from fx_emb e join cent c on c.cluster_id = e.cluster_id),
+shown as (select cluster_id, 'Prompts near the middle of one group, nearest first:' || chr(10) || chr(10)
+            || string_agg(rank || '. ' || substr(prompt, 1, 150), chr(10) order by rank) as text
+          from near join fx_records using (log_id) where rank <= 5 group by cluster_id),
+h as (select cluster_id, {_DUCK_H.format('text')} as h from shown)
+select cluster_id, case when h % 11 = 0 then 'cluster_' || cluster_id || '_unlabeled' else 'topic ' || h % 97 end as label,
+       case when h % 11 = 0 then '(labeling failed)' else 'a group of prompts' end as description,
+       (select count(*) from fx_emb e where e.cluster_id = h.cluster_id) as size from h""")
 def _label_clusters(s: Source):
-    named = modelmap.label_clusters(s("fx_emb"), s("fx_records").select("log_id", "prompt"), stub_model, **_FAST)
-    return named.filter("label is not null and description is not null").select("cluster_id", "size")
+    return modelmap.label_clusters(s("fx_emb"), s("fx_records").select("log_id", "prompt"), stub_model, **_FAST)
 
 
 def _to_label(s: Source):
@@ -416,7 +428,7 @@ def _generate_labels(s: Source):
 @query("judge_labels", f"""
 select case_id, case when h % 11 <> 0 then round(0.5 * (h % 101) / 100 + 0.5 * case when label_source = 'auto' then 1.0 else 0.3 end, 6) end as confidence_score,
        case when h % 11 = 0 then 'malformed reply' end as error
-from (select *, {_DUCK_H.format("'eval_type: ' || eval_type || chr(10) || chr(10) || 'expected_behavior: ' || prompt")} as h from fx_case_lists)""")
+from (select *, {_DUCK_H.format("'eval_type: ' || eval_type || chr(10) || chr(10) || '= ' || prompt")} as h from fx_case_lists)""")
 def _judge_labels(s: Source):
     labels = s("fx_case_lists").select(
         F.col("case_id").alias("log_id"), "eval_type", F.col("prompt").alias("expected_behavior"),
@@ -427,7 +439,37 @@ def _judge_labels(s: Source):
     return judged.select(F.col("log_id").alias("case_id"), F.round("confidence_score", 6).alias("confidence_score"), "error")
 
 
-@query("build_cases")
+# the loop: dedup, label, judge; a candidate whose label or judgement fails shadows nobody
+_DUCK_BUILT = f"""
+with ranked as (select b.log_id, b.v, {DUCK_WEIGHT} as weight, l.* exclude (log_id),
+    case when l.is_safety_edge_case then 'expected_refusal'
+      when l.feature_name in ('sql_query_generator', 'code_review_assistant') then 'golden_answer' else 'rubric' end as eval_type
+  from fx_blobs b join fx_records l on l.log_id = b.log_id),
+asked as (select *, {_DUCK_H.format("'Feature under test: ' || feature_name || chr(10) || '=== instructions ===' || chr(10) || system_prompt || chr(10) || '=== request ===' || chr(10) || prompt")} as h from ranked),
+shown as (select *, case when eval_type = 'rubric' then array_to_string(list_transform(range(1, 2 + h % 4), lambda i: '+ point ' || i), chr(10))
+                    else '= ' || repeat('answers ', cast(1 + h % 5 as bigint)) end as label_text from asked),
+judged as (select *, {_DUCK_H.format("'eval_type: ' || eval_type || chr(10) || chr(10) || label_text")} as q from shown),
+r as (select row_number() over (order by weight desc, log_id) as rn, log_id as id, v, h % 11 = 0 or q % 11 = 0 as bad, 0.5 * (q % 101) / 100 + 0.5 as confidence from judged),
+nb as (select a.rn, a.bad, list(b.rn) filter (b.rn is not null) as before
+       from r a left join r b on b.rn < a.rn and list_dot_product(a.v, b.v) >= 0.92 group by a.rn, a.bad),
+walk as (
+  select cast(0 as bigint) as rn, cast([] as bigint[]) as acc
+  union all
+  select nb.rn, case when nb.bad or list_has_any(coalesce(nb.before, []), walk.acc) then walk.acc else list_append(walk.acc, nb.rn) end
+  from walk join nb on nb.rn = walk.rn + 1),
+acc as (select unnest(acc) as rn from walk where rn = (select max(rn) from r)),
+best as (select a.rn, arg_max(b.id, list_dot_product(a.v, b.v)) as other, max(list_dot_product(a.v, b.v)) as sim
+  from r a join r b on b.rn < a.rn and b.rn in (select rn from acc) and list_dot_product(a.v, b.v) >= 0.92
+  where a.rn not in (select rn from acc) group by a.rn),
+built as (select id as log_id, case when r.rn in (select rn from acc) then case when confidence >= 0.75 then 'approved' else 'draft' end end as status,
+  case when r.rn in (select rn from acc) then 'created' when other is not null then 'deduped' else 'failed' end as outcome,
+  case when r.rn in (select rn from acc) then null when other is not null then 'repeats ' || other || ' (cosine ' || printf('%.3f', sim) || ', limit 0.92)'
+       else 'malformed reply' end as reason
+  from r left join best on best.rn = r.rn)
+"""
+
+
+@query("build_cases", f"{_DUCK_BUILT} select * from built")
 def _build_cases(s: Source):
     emb = s("fx_blobs")
     ranked = emb.select("log_id", F.col("label").alias("cluster_id")).join(
@@ -439,28 +481,34 @@ def _build_cases(s: Source):
     return outcomes
 
 
-@query("run_cases", f"""
+_DUCK_RUN = f"""
 with h as (select case_id, status, eval_type, prompt, expected_behavior, rubric, forbidden_assertions,
              case when {_DUCK_H.format('prompt')} % 11 = 0 then 'no idea' else 'reply ' || {_DUCK_H.format('prompt')} end as response
            from fx_case_lists where status = 'approved'),
-j as (select *, {_DUCK_H.format('''
-  'Eval type: ' || eval_type || chr(10) || chr(10) ||
-  case eval_type when 'golden_answer' then 'Expected behavior:' || chr(10) || expected_behavior
-    when 'expected_refusal' then 'Expected refusal behavior:' || chr(10) || expected_behavior
-    else 'Rubric (must satisfy):' || chr(10)
-      || coalesce(array_to_string(list_transform(rubric, lambda x: '- ' || x), chr(10)), '')
-      || chr(10) || chr(10) || 'Forbidden (must NOT do):' || chr(10)
-      || coalesce(array_to_string(list_transform(forbidden_assertions, lambda x: '- ' || x), chr(10)), '') end
-  || chr(10) || chr(10) || '--- Model response to grade ---' || chr(10) || response || chr(10) || '--- end response ---'
-''')} as v from h)
+j as (select *, {_DUCK_H.format(DUCK_JUDGE_PROMPT.format('response'))} as v from h)
 select case_id, case when v % 11 = 0 then '' else response end as model_response, v % 11 <> 0 and v % 3 > 0 as passed,
        case when v % 11 = 0 then 'RUNNER ERROR: malformed reply' else 'stub' end as judge_reasoning
-from j""")
+from j"""
+
+
+@query("run_cases", _DUCK_RUN)
 def _run_cases(s: Source):
-    results = evaluation.run_cases(_case_table(s), "run_x", stub_model, stub_model, "target", "judge", as_of(), **_FAST)
-    return results.select("case_id", "model_response", "passed", "judge_reasoning")
+    return _run(s).select("case_id", "model_response", "passed", "judge_reasoning")
+
+
+def _run(s: Source):
+    return evaluation.run_cases(_case_table(s), "run_x", stub_model, stub_model, "target", "judge", as_of(), **_FAST)
+
+
+@query("run_summary", f"""
+select 'run_x' as run_id, count(*) as total, count(*) filter (passed) as passed, count(*) filter (not passed) as failed,
+       count(*) filter (judge_reasoning like 'RUNNER ERROR: %') as errors from ({_DUCK_RUN}) x""")
+def _run_summary(s: Source):
+    return evaluation.run_summary(_run(s), "run_x")
 
 
-@query("build_outcome_counters")
+@query("build_outcome_counters", f"""{_DUCK_BUILT}
+select count(*) filter (outcome = 'created') as created, count(*) filter (status = 'approved') as auto_approved, count(*) filter (status = 'draft') as draft,
+       count(*) filter (outcome = 'deduped') as deduped, count(*) filter (outcome = 'failed') as failed from built""")
 def _build_outcome_counters(s: Source):
     return summaries.build_counters(_build_cases(s))

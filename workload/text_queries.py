@@ -99,29 +99,28 @@ def _parse_model_json(s: Source):
     )
 
 
-@query("render_label", """
-select case_id, array_to_string(list_filter([
-  case when length(expected_behavior) > 0 then 'expected_behavior: ' || expected_behavior end,
-  case when len(rubric) > 0 then 'rubric:' || chr(10) || array_to_string(list_transform(rubric, lambda x: '  - ' || x), chr(10)) end,
-  case when len(forbidden_assertions) > 0 then 'forbidden_assertions:' || chr(10)
-       || array_to_string(list_transform(forbidden_assertions, lambda x: '  - ' || x), chr(10)) end],
-  lambda p: p is not null), chr(10)) as label_text
+DUCK_LABEL = """array_to_string(list_filter([
+  case when length({expected}) > 0 then '= ' || {expected} end,
+  case when len({rubric}) > 0 then array_to_string(list_transform({rubric}, lambda x: '+ ' || x), chr(10)) end,
+  case when len({forbidden}) > 0 then array_to_string(list_transform({forbidden}, lambda x: '! ' || x), chr(10)) end], lambda p: p is not null), chr(10))"""
+_BY_TYPE = DUCK_LABEL.format(
+    expected="(case when eval_type <> 'rubric' then expected_behavior end)", rubric="(case when eval_type = 'rubric' then rubric end)",
+    forbidden="(case when eval_type = 'rubric' then forbidden_assertions end)",
+)
+DUCK_JUDGE_PROMPT = f"""
+'<answer>' || chr(10) || {{}} || chr(10) || '</answer>' || chr(10) || '<' || eval_type || '>' || chr(10)
+|| {_BY_TYPE} || chr(10) || '</' || eval_type || '>'"""
+
+
+@query("render_label", f"""
+select case_id, {DUCK_LABEL.format(expected="expected_behavior", rubric="rubric", forbidden="forbidden_assertions")} as label_text
 from fx_case_lists""")
 def _render_label(s: Source):
     rendered = text.render_label(F.col("expected_behavior"), F.col("rubric"), F.col("forbidden_assertions"))
     return s("fx_case_lists").select("case_id", rendered.alias("label_text"))
 
 
-@query("render_judge_prompt", """
-select case_id, 'Eval type: ' || eval_type || chr(10) || chr(10) ||
-  case eval_type when 'golden_answer' then 'Expected behavior:' || chr(10) || expected_behavior
-    when 'expected_refusal' then 'Expected refusal behavior:' || chr(10) || expected_behavior
-    else 'Rubric (must satisfy):' || chr(10)
-      || coalesce(array_to_string(list_transform(rubric, lambda x: '- ' || x), chr(10)), '')
-      || chr(10) || chr(10) || 'Forbidden (must NOT do):' || chr(10)
-      || coalesce(array_to_string(list_transform(forbidden_assertions, lambda x: '- ' || x), chr(10)), '') end
-  || chr(10) || chr(10) || '--- Model response to grade ---' || chr(10) || prompt || chr(10) || '--- end response ---' as judge_prompt
-from fx_case_lists""")
+@query("render_judge_prompt", f"select case_id, {DUCK_JUDGE_PROMPT.format('prompt')} as judge_prompt from fx_case_lists")
 def _render_judge_prompt(s: Source):
     rendered = text.render_judge_prompt(
         F.col("eval_type"), F.col("expected_behavior"), F.col("rubric"),

@@ -124,8 +124,7 @@ m as (select f.id, a.id as case_id, list_dot_product(f.v, a.v) as sim,
         row_number() over (partition by f.id order by list_dot_product(f.v, a.v) desc, a.id) as n
       from fresh f cross join approved a)
 select id, sim >= 0.92 as is_duplicate, case_id as most_similar_case_id, round(sim, 6) as similarity,
-       case when sim >= 0.92 then 'duplicate of ' || case_id || ' (similarity ' || printf('%.3f', sim) || ' >= threshold 0.92)'
-            else 'not a duplicate; closest existing case is ' || case_id || ' (similarity ' || printf('%.3f', sim) || ' < threshold 0.92)' end as reason
+       case when sim >= 0.92 then 'repeats ' else 'new; nearest is ' end || case_id || ' (cosine ' || printf('%.3f', sim) || ', limit 0.92)' as reason
 from m where n = 1""")
 def _check_duplicates(s: Source):
     found = dedup.check_duplicates(_fresh(s), _case_vectors(s, ["approved"]))
@@ -184,7 +183,7 @@ blocked as (select distinct r0.rn from r0 join existing e on list_dot_product(r0
 {_DUCK_GREEDY}
 select 'rej_' || substr(sha256('{{"k0":"' || r.id || '","k1":"' || other || '"}}'), 1, 16) as rejection_id,
        r.id as source_log_id, other as most_similar_case_id, round(sim, 6) as similarity,
-       'duplicate of ' || other || ' (similarity ' || printf('%.3f', sim) || ' >= threshold 0.92)' as reason
+       'repeats ' || other || ' (cosine ' || printf('%.3f', sim) || ', limit 0.92)' as reason
 from r join best on best.rn = r.rn""")
 def _dedup_rejections(s: Source):
     weighted = s("fx_logs").select(F.col("log_id").alias("id"), rules.failure_weight().alias("score"))
