@@ -236,6 +236,22 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.linked_counts.__defaults__[1] == vectors.BLOCK
 
 
+def test_tight_groups_that_touch(spark):
+    """Groups that fill every list with their own members, in pairs at 0.957 to each other."""
+    rng = np.random.default_rng(9)
+    pairs = np.linalg.qr(rng.standard_normal((64, 12)))[0].T  # a centre and a direction for each pair
+    angle = np.arccos(0.957)
+    centres = np.concatenate([[c, np.cos(angle) * c + np.sin(angle) * t] for c, t in zip(pairs[:6], pairs[6:])])
+    x = np.repeat(centres, 40, axis=0) + 1e-3 * rng.standard_normal((480, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, recall = vectors.near_vectors(data)
+    got = got.toPandas().set_index("vec_id").sort_index()
+    true = (x @ x.T >= vectors.THRESHOLD).sum(1) - 1
+    assert true.sum() == 37_920 and got.n_links.tolist() == true.tolist() and recall == 1.0
+    assert got.component_id.tolist() == [i // 80 * 80 for i in range(480)]
+
+
 def test_vector_counts_do_not_depend_on_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal(8) + 0.2 * rng.standard_normal((90, 8))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesieve.llm.common import spare_name
+from tracesieve.operators.ordering import number_rows
 from tracesieve.session import cut
 
 #: Repeating weights of the sources in order of their names.
@@ -75,15 +76,18 @@ def plan_mix(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, max_epochs: int
         ids.alias("d").join(at.alias("c"), F.expr("d.source <=> c.source and d.bin = c.bin"))
         .select("c.source", "d.bin", "c.before", "c.part", "d.u", _id("d.doc_id"), "d.size")
     )
+    # equal rows first, so that a row repeated very often is one row of the window
+    inside = inside.groupBy("source", "bin", "before", "part", "u", "id", "size").agg(F.count("*").alias("same"))
     order = Window.partitionBy("source", "bin").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("from", F.col("before") + F.sum("size").over(order) - F.col("size"))
+    words = F.col("size") * F.col("same")
+    inside = inside.withColumn("from", F.col("before") + F.sum(words).over(order) - words)
     stops = (
-        inside.where("from <= part and part < from + size").groupBy("source")
-        .agg(F.min(F.struct("u", "id", "size")).alias("stop"), F.min(F.round(F.col("part") - F.col("from"))).alias("cut"))
+        inside.where(F.col("from") <= F.col("part")).where(F.col("part") < F.col("from") + words).groupBy("source")
+        .agg(F.min(F.struct("u", "id", "size")).alias("stop"), F.min(F.struct((F.col("part") - F.col("from")).alias("words"), "same")).alias("left"))
     )
     return cut(
         targets.alias("t").join(at.alias("c"), F.expr("t.source <=> c.source"), "left").join(stops.alias("s"), F.expr("t.source <=> s.source"), "left")
-        .select("t.source", F.col("t.size").alias("source_size"), "t.target", "t.whole", "c.bin", "s.stop", F.col("s.cut").cast("long").alias("cut"))
+        .select("t.source", F.col("t.size").alias("source_size"), "t.target", "t.whole", "c.bin", "s.stop", F.col("s.left.words").alias("cut"), "s.left.same")
     )
 
 
@@ -99,11 +103,13 @@ def mix_sources(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, max_epochs:
     target to the word, and no document exceeds ``max_epochs`` times its size.
 
     Null text has size 0 and gives no words. A null source is a source of its own, last in
-    order. Rows that repeat an id share one draw and one decision. Other columns pass
+    order. Rows that repeat an id share one draw; where the cut falls among equal rows (id and
+    size), they are numbered and only one of them is cut. Other columns pass
     unchanged; an empty table gives an empty one. The plan has one row per source and the
     join has no aggregate above it, so a hot source can be split by adaptive execution.
     """
     plan = plan_mix(docs, seed, weights, max_epochs)
+    repeated = not plan.where("same > 1").isEmpty()
     name = spare_name(docs, "mix")
     own = spare_name(docs, "plan")
     plan = plan.select(F.struct(*plan.columns).alias(own)).alias("t")
@@ -114,14 +120,28 @@ def mix_sources(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, max_epochs:
     u, size = draw(F.col("d.doc_id"), seed), word_count(F.col("d.text"))
     mine = F.struct(u.alias("u"), _id("d.doc_id"), size.alias("size"))
     bin_ = F.floor(u / (2**32 // BINS))
-    inside = F.when(mine < of("stop"), size).when(mine == of("stop"), of("cut")).otherwise(0)
-    extra = F.when(bin_ < of("bin"), size).when((bin_ == of("bin")) & (size > 0), inside).otherwise(0)
-    mixed = F.struct(
-        size.alias("size"), of("source_size").alias("source_size"), of("target").alias("target"),
-        of("whole").cast("int").alias("whole"), extra.cast("long").alias("extra"),
-    )
+
+    def mixed(extra: Column) -> Column:
+        return F.struct(
+            size.alias("size"), of("source_size").alias("source_size"), of("target").alias("target"),
+            of("whole").cast("int").alias("whole"), extra.cast("long").alias("extra"),
+        ).alias(name)
+
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
     joined = docs.alias("d").join(plan, F.expr(f"d.source <=> t.{own}.source"))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], mixed.alias(name))
+    inside = F.when(mine < of("stop"), size).when(mine == of("stop"), F.round(of("cut"))).otherwise(0)
+    extra = F.when(bin_ < of("bin"), size).when((bin_ == of("bin")) & (size > 0), inside).otherwise(0)
+    if not repeated:
+        return joined.select(*columns, mixed(extra))
+    equal = F.coalesce((bin_ == of("bin")) & (of("same") > 1) & (mine == of("stop")), F.lit(False))
+    # Equal rows are alike, so any order numbers them: that of the scan, dealt out by range.
+    number, row, key = (spare_name(docs, x) for x in ("number", "row", "key"))
+    tied = joined.where(equal).select(*columns, mixed(extra), of("cut").alias(number + "_cut"), F.col("d.source").alias(key), F.monotonically_increasing_id().alias(row))
+    tied = number_rows(tied, [row], number, [key])
+    left = F.round(F.col(number + "_cut") - (F.col(number) - 1) * F.col(f"{name}.size"))
+    shares = F.least(F.greatest(left, F.lit(0)), F.col(f"{name}.size")).cast("long")
+    tied = tied.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(name).withField("extra", shares).alias(name))
+    return joined.where(~equal).select(*columns, mixed(extra)).unionByName(tied)
 
 
 def repeated_documents(docs: DataFrame, **how) -> DataFrame:

@@ -79,11 +79,42 @@ def _neighbours_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
             i = i[turn[i] == turn[i + step]]
             parts += [(i, i + step), (i + step, i)]
         a, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        d = np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)).sum(1)
-        yield pd.DataFrame({"u": node[a], "w": node[b], "su": list(sketch[a]), "sw": list(sketch[b]), "d": d.astype(np.int32)})
+        yield _pairs(node, sketch, a, b)
         tail = frame.tail(REACH).reset_index(drop=True)
 
 
+def _pairs(node: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    d = np.bitwise_count((sketch[a, :WORDS] ^ sketch[b, :WORDS]).view(np.uint64)).sum(1)
+    return pd.DataFrame({"u": node[a], "w": node[b], "su": list(sketch[a]), "sw": list(sketch[b]), "d": d.astype(np.int32)})
+
+
+def _others_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of each row with the last ``REACH`` rows before its run of one component, both ways.
+
+    The component is the last entry of the sketch. Of a long run only the ends are kept.
+    """
+    tail = None
+    for frame in frames:
+        frame = frame if tail is None else pd.concat([tail, frame], ignore_index=True)
+        n, new_from = len(frame), 0 if tail is None else len(tail)
+        if not n:
+            continue
+        turn, node, sketch = frame["turn"].to_numpy(), frame["node"].to_numpy(), np.stack(frame["s"].to_numpy())
+        begins = np.ones(n, bool)
+        begins[1:] = (turn[1:] != turn[:-1]) | (sketch[1:, WORDS] != sketch[:-1, WORDS])
+        start = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        parts = []
+        for step in range(1, REACH + 1):
+            i = np.arange(new_from, n)
+            i = i[start[i] >= step]
+            j = start[i] - step
+            met = (turn[i] == turn[j]) & (sketch[i, WORDS] != sketch[j, WORDS])
+            parts += [(i[met], j[met]), (j[met], i[met])]
+        yield _pairs(node, sketch, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        last = int(start[-1])
+        tail = frame.iloc[[*range(max(0, last - REACH), last), *range(max(last, n - REACH), n)]].reset_index(drop=True)
+
+
 def _order_keys(orders: int):
     """UDF from a sketch to one long per order: 63 of its bits, drawn anew for each order."""
 
@@ -102,15 +133,15 @@ def _order_keys(orders: int):
     return F.arrow_udf(run, T.ArrayType(T.LongType()))
 
 
-def first_graph(nodes: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """Candidate pairs from several orders of the sketches, each over other bits.
+def first_graph(nodes: DataFrame, orders: int = ORDERS, apart: bool = False) -> DataFrame:
+    """Candidate pairs from several orders of the sketches, each over other bits; ``apart``: of different components.
 
     Rows are dealt by range with the node as tie-breaker, so equal sketches do not meet
     in one task.
     """
-    rows = nodes.select("node", "s", F.posexplode(_order_keys(orders)("s")).alias("turn", "key"))
+    rows = nodes.select("node", "s", F.posexplode(_order_keys(orders)(F.slice("s", 1, WORDS))).alias("turn", "key"))
     rows = rows.repartitionByRange("turn", "key", "node").sortWithinPartitions("turn", "key", "node")
-    return rows.mapInPandas(_neighbours_in_order, "u long, w long, su array<long>, sw array<long>, d int")
+    return rows.mapInPandas(_others_in_order if apart else _neighbours_in_order, "u long, w long, su array<long>, sw array<long>, d int")
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -122,19 +153,21 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return kept.withColumn("worst", F.coalesce(full, F.lit(BITS + 1))).drop("r")
 
 
-def descend(nodes: DataFrame, k: int = LIST, orders: int = ORDERS, rounds: int = ROUNDS) -> DataFrame:
+def descend(nodes: DataFrame, k: int = LIST, orders: int = ORDERS, rounds: int = ROUNDS, apart: bool = False) -> DataFrame:
     """Neighbour lists (u, w, su, sw, d): refined until few entries change.
 
+    ``apart`` keeps to pairs of different components, which the sketches then carry as last entry.
+
     A round joins each list with the lists of its members; only pairs in which one entry
     is new are looked at, and only those that beat the node's worst neighbour go on.
     """
-    graph = cut(_best(first_graph(nodes, orders).withColumn("fresh", F.lit(1)), k))
+    graph = cut(_best(first_graph(nodes, orders, apart).withColumn("fresh", F.lit(1)), k))
     n = nodes.count()
     for _ in range(rounds):
         left = graph.select("u", F.col("w").alias("via"), "su", "worst", F.col("fresh").alias("f1"))
         right = graph.select(F.col("u").alias("via"), "w", "sw", F.col("fresh").alias("f2"))
         found = (
-            left.join(right, "via").where("u <> w and f1 + f2 > 0").withColumn("d", _apart(F.col("su"), F.col("sw")).cast("int"))
+            left.join(right, "via").where("u <> w and f1 + f2 > 0").where(_foreign(F.col("su"), F.col("sw")) if apart else F.lit(True)).withColumn("d", _apart(F.col("su"), F.col("sw")).cast("int"))
             .where("d < worst").select("u", "w", "su", "sw", "d", F.lit(1).alias("fresh"))
         )
         old = graph.select("u", "w", "su", "sw", "d", F.lit(0).alias("fresh"))
@@ -147,6 +180,10 @@ def descend(nodes: DataFrame, k: int = LIST, orders: int = ORDERS, rounds: int =
     return graph
 
 
+def _foreign(a: Column, b: Column) -> Column:
+    return F.get(a, F.lit(WORDS)) != F.get(b, F.lit(WORDS))
+
+
 def _cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     def norm(v):
@@ -154,13 +191,43 @@ def _cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot / norm(a) / norm(b))
 
 
+def sketch_limit(threshold: float) -> int:
+    """Differing bits beyond which a pair at ``threshold`` is not expected."""
+    p = float(np.arccos(threshold) / np.pi)
+    return int(BITS * p + MARGIN * np.sqrt(BITS * p * (1 - p)))
+
+
 def threshold_edges(graph: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of the graph whose exact cosine is at least ``threshold``."""
-    p = float(np.arccos(threshold) / np.pi)
-    limit = int(BITS * p + MARGIN * np.sqrt(BITS * p * (1 - p)))
-    pairs = graph.where(F.col("d") <= limit).select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
+    pairs = graph.where(F.col("d") <= sketch_limit(threshold)).select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(nodes.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
-    return pairs.where(_cosine(F.col("va"), F.col("vb")) >= threshold - 1e-12).select("a", "b")
+    return pairs.where(_cosine(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
+
+
+def linked_components(nodes: DataFrame, k: int, orders: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component) of all nodes with a link.
+
+    A list whose last entry is still within the sketch limit is saturated: its node may link
+    with more, and with nodes of other components, which its own group keeps out of the list.
+    So the saturated nodes descend again with lists that hold nodes of other components only,
+    until no link joins two components any more. Inside a component ``linked_counts`` is exact.
+    """
+    graph = descend(nodes.select("node", "s"), k, orders)
+    full = graph.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("entries"), F.max("d").alias("last"))
+    full = cut(full.where((F.col("entries") >= k) & (F.col("last") <= sketch_limit(threshold))).select("node"))
+    edges = cut(threshold_edges(graph, nodes, threshold))
+    joined = cut(components(edges))
+    while not full.isEmpty():
+        named = nodes.join(full, "node").join(joined, "node", "left")
+        named = cut(named.select("node", F.concat("s", F.array(F.coalesce("component", "node"))).alias("s")))
+        if named.select(F.element_at("s", -1)).distinct().limit(2).count() < 2:
+            break
+        found = cut(threshold_edges(descend(named, LIST, orders, apart=True), nodes, threshold))
+        if found.isEmpty():
+            break
+        edges = edges.unionByName(found)
+        joined = cut(components(edges))
+    return joined
 
 
 def _unit_rows(frame: pd.DataFrame) -> np.ndarray:
@@ -194,7 +261,7 @@ def _piece(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 def linked_counts(joined: DataFrame, nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(node, links): how many vectors each node links with inside its component, exactly.
 
-    A list that is full of links is saturated; it is enlarged to the whole component.
+    So a saturated list is enlarged to the whole component.
     Components over ``block`` nodes are compared in pairs of blocks in separate tasks;
     counts leave a task, pairs do not.
     """
@@ -257,8 +324,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     """(vec_id, n_links, component_id, kept) with one row per id, and the measured recall.
 
     Equal vectors are folded first. The search is repeated with lists and orders twice as
-    large while the audit finds less than ``RECALL`` of a node's true links or cannot
-    measure it. The first graph's orders grow with the logarithm of the rows. A vector that is
+    large while the audit finds less than ``RECALL`` of a node's true links, or cannot
+    measure it and still finds new ones. The first graph's orders grow with the logarithm of the rows. A vector that is
     null, empty, zero or has null or non-finite components links with nothing; vectors of
     different length do not link. Rows that repeat an id count once, with the smallest of
     their usable vectors; rows without an id are left out.
@@ -266,15 +333,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     good = cut(usable(vectors))
     folded = good.groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     nodes = cut(folded.select("node", "n", "v", _sketch("v").alias("s")))
-    k, orders, recall = LIST, max(ORDERS, nodes.count().bit_length()), None
-    for _ in range(3):
-        graph = descend(nodes.select("node", "s"), k, orders)
-        joined = cut(components(threshold_edges(graph, nodes, threshold)))
+    total = nodes.count()
+    k, orders, known = LIST, max(ORDERS, total.bit_length()), None
+    while True:
+        joined = linked_components(nodes, k, orders, threshold)
         counts = cut(linked_counts(joined, nodes, threshold))
         recall = audit(nodes, counts, threshold)
-        if recall is not None and recall >= RECALL:
+        found = counts.agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+        # not measured: once more, until twice the effort finds nothing new
+        if k >= total or (found == known if recall is None else recall >= RECALL):
             break
-        k, orders = 2 * k, 2 * orders
+        k, orders, known = 2 * k, 2 * orders, found
     named = (
         nodes.select("node", "n", "v").join(joined, "node", "left").join(counts, "node", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
