@@ -17,7 +17,7 @@ ROW = "doc_id long, text string, source string, n_chars long"
 def compare(docs):
     mix = F.col("mix.whole") * F.col("mix.size") + F.col("mix.extra")
     got = [tuple(r) for r in mixing.mix_sources(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", mix.cast("long").alias("taken")).collect()]
-    documents = docs.toPandas()  # noqa: F841 - read by the query
+    documents = docs.toArrow()  # noqa: F841 - read by the query
     assert Counter(got) == Counter(duckdb.sql(MIX_SQL).fetchall())
     return got
 
