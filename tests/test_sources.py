@@ -128,6 +128,31 @@ def test_stream_resumes_and_replaces(spark, source, tmp_path):
     assert ingest.read_ingested(spark, str(tmp_path / "compact")).count() == n
 
 
+def test_replayed_and_late_rows(spark, source, tmp_path):
+    places = [str(tmp_path / x) for x in ("in", "logs", "ckpt")]
+    logs = _log_table(source).filter("length(prompt) > 0 and length(response) > 0").limit(40)
+    logs.write.mode("append").json(places[0])
+    ingest.ingest_stream(spark, *places, buckets=8).awaitTermination()
+    few = logs.orderBy("log_id").limit(2)
+    few.withColumn("timestamp", F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")).withColumn("retry_count", F.lit(7)).write.mode("append").json(places[0])
+    ingest.ingest_stream(spark, *places, buckets=8).awaitTermination()
+    rows = lambda: sorted(map(repr, ingest.read_ingested(spark, places[1]).collect()))
+    now = rows()
+    # a late row of an old time replaces, as it comes in a later batch
+    assert len(now) == 40 and ingest.read_ingested(spark, places[1]).filter("retry_count = 7").count() == 2
+    # the second batch wrote only the buckets it touched, and reads open each bucket once
+    files = ingest.read_ingested(spark, places[1]).inputFiles()
+    assert len({f.split("bucket=")[1].split("/")[0] for f in files}) == len(files) <= 8 and all("_resolved/" in f for f in files)
+    assert 1 <= sum("batch=1/" in f for f in files) <= 2
+    # replays: of a merged batch, and of one that stopped after the write of the rows
+    ingest.merge_batch(spark, places[1], 1, 8)
+    assert rows() == now
+    (tmp_path / "logs_resolved" / "manifest_1").rename(tmp_path / "lost")
+    assert ingest.read_ingested(spark, places[1]).filter("retry_count = 7").count() == 0
+    ingest.merge_batch(spark, places[1], 1, 8)
+    assert rows() == now
+
+
 def test_stream_keeps_unreadable_lines_and_masks_by_default(spark, tmp_path):
     good = {f.name: None for f in LOG.fields} | {
         "log_id": "l1", "feature_name": "f", "model": "m", "system_prompt": "s", "prompt": "mail ann@site.org", "response": "r",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests import brute
-from tracesieve.operators import dedup, density, sampling, vectors
+from tracesieve.operators import dedup, density, sampling, scoring, vectors
 from tracesieve.operators.vectors import Want
 
 
@@ -273,3 +273,29 @@ def test_heavier_logs_are_drawn_more_often(spark, source):
     logs = source("fx_logs").withColumn("w", failure_weight())
     drawn = sampling.sample_failure_biased(logs, 200, 3)
     assert drawn.agg(F.avg("w")).first()[0] > 1.5 * logs.agg(F.avg("w")).first()[0]
+
+
+def test_novelty_with_nearly_all_noise(spark):
+    """90 % noise: no task of the joins gets most rows, and the values equal the plain ones."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1000, 3))
+    label = np.where(rng.random(1000) < 0.9, -1, rng.integers(0, 3, 1000))
+    rows = spark.createDataFrame([(f"{i:05d}", int(c), [float(a) for a in v]) for i, (c, v) in enumerate(zip(label, x))], "log_id string, cluster_id int, embedding array<double>")
+    centres = {c: x[label == c].mean(axis=0) for c in (0, 1, 2)}
+    d = np.array([np.linalg.norm(v - centres[c]) if c >= 0 else min(np.linalg.norm(v - m) for m in centres.values()) for c, v in zip(label, x)])
+    top = {c: d[label == c].max() for c in (-1, 0, 1, 2)}
+    scored = scoring.novelty(rows)
+    for r in scored.collect():
+        i = int(r.log_id)
+        share = d[i] / top[label[i]]
+        assert r.novelty == pytest.approx(share if label[i] >= 0 else 0.9 + 0.1 * share, abs=1e-9)
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "_salt" in plan  # only the members meet a table
+    alone = scoring.novelty(rows.filter("cluster_id = -1"))
+    assert {r.novelty for r in alone.collect()} == {1.0} and alone.count() == int((label == -1).sum())
+
+
+def test_samples_move_no_whole_rows(spark, source):
+    logs = source("fx_records")
+    plan = sampling.sample_random(logs, 50, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "rangepartitioning" not in plan

@@ -6,17 +6,24 @@ order or retries.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tracesieve.functions.rules import failure_weight
-from tracesieve.operators.vectors import Want, as_double, neighbours
+from tracesieve.operators.ordering import number_rows
+from tracesieve.operators.vectors import as_double
+from tracesieve.session import checkpoint_dir, cut
 
 TOP_LIMIT = 100_000
 HISTOGRAM = 1024
 POOL = 1024
 MIN_U = 1e-12
+_PICKS = "id string, pick int"
 
 
 def hash_uniform(id_column: Column, seed: int) -> Column:
@@ -33,33 +40,35 @@ def _need(df: DataFrame, n: int) -> None:
 
 
 def _first_by(df: DataFrame, key: str, id_column: str, n: int) -> DataFrame:
-    """The n rows of smallest (key, id).
+    """The n rows of smallest (key, id); ids are unique.
 
-    A top-k that fits one task is taken directly. A larger one narrows the
-    key's n-th value down by histograms, keeps every row below that bucket with
-    a filter, and only sorts the bucket itself.
+    Only keys and ids are ordered: they give the n-th pair, and a filter keeps the rows up
+    to it where they lie. Histograms narrow a large n down to the bucket that holds the pair.
     """
-    if n <= TOP_LIMIT:
-        return df.orderBy(key, id_column).limit(n)
-    value = F.col(key)
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    left = n
-    while True:
-        inside = df.filter(value.between(low, high))
-        bucket = F.floor((value - low) / (high - low) * HISTOGRAM) if high > low else F.lit(0)
-        rows = inside.groupBy(bucket.alias("b")).agg(
+    value, left = F.col(key), n
+    narrow = df.select(key, id_column)
+    while left > TOP_LIMIT:
+        first, last = narrow.agg(F.min(key), F.max(key)).first()
+        bucket = F.floor((value - first) / (last - first) * HISTOGRAM) if last > first else F.lit(0)
+        rows = narrow.groupBy(bucket.alias("b")).agg(
             F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")
-        ).orderBy("b").collect()
+        ).orderBy("b").collect()  # at most HISTOGRAM + 1 rows
         for row in rows:
             if left <= row.n:
                 break
             left -= row.n
-        narrowed = (row.low, row.high) != (low, high)
-        low, high = row.low, row.high
-        if row.n <= TOP_LIMIT or not narrowed:
+        narrowed = (row.low, row.high) != (first, last)
+        narrow = narrow.filter(value.between(row.low, row.high))
+        if not narrowed:
             break
-    edge = df.filter(value.between(low, high)).orderBy(key, id_column).limit(left)
-    return df.filter(value < low).unionByName(edge)
+    if not left:
+        return df.limit(0)
+    pair = F.struct(value.alias("key"), F.col(id_column).alias("id"))
+    if left <= TOP_LIMIT:
+        edge = narrow.orderBy(key, id_column).limit(left).agg(F.max(pair).alias("p")).first().p
+    else:  # one key for more rows than fit a reducer: the ids alone decide
+        edge = number_rows(narrow, [key, id_column], "place").filter(F.col("place") == left).select(pair.alias("p")).first().p
+    return df.filter((value < edge.key) | ((value == edge.key) & (F.col(id_column) <= edge.id)))
 
 
 def sample_random(logs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -80,44 +89,60 @@ def sample_failure_biased(logs: DataFrame, n: int, seed: int) -> DataFrame:
     return _first_by(keyed, "_key", "log_id", n).drop("_key")
 
 
+def _nearer(points: DataFrame, picks: list[tuple[str, list[float]]]) -> DataFrame:
+    """``points`` (id, v, d) with ``d`` lowered to the nearest of ``picks``; a picked point gets -1."""
+    chosen, vectors = {i for i, _ in picks}, np.array([v for _, v in picks])
+
+    def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, least = np.array(pdf["v"].tolist()), pdf["d"].to_numpy().copy()
+                for pick in vectors:
+                    least = np.minimum(least, np.sqrt(((x - pick) ** 2).sum(axis=1)))
+                least[pdf["id"].isin(chosen).to_numpy()] = -1.0
+                yield pdf.assign(d=least)
+
+    return points.mapInPandas(lower, points.schema)
+
+
 def sample_diverse(vectors: DataFrame, n: int, seed: int) -> DataFrame:
     """Greedy farthest-point picks: columns id, pick (1 is the first).
 
-    One pass finds the ``POOL`` points farthest from the picks so far. Distances
-    only shrink, so as long as the best of the pool stays ahead of the first
-    point outside it, it is the true next pick and needs no new pass.
+    Every point keeps its distance to the nearest pick, which a pass lowers by the new
+    picks only. Distances only shrink, so among the ``POOL`` farthest points the best one is
+    the true next pick as long as it stays ahead of the first point outside the pool. The
+    driver holds one pool; picks go to a table as they are made.
     """
     spark = vectors.sparkSession
-    result = "id string, pick int"
     if n <= 0:
-        return spark.createDataFrame([], result)
-    points = vectors.select("id", as_double(F.col("v")).alias("v"))
+        return spark.createDataFrame([], _PICKS)
+    points = cut(vectors.select("id", as_double(F.col("v")).alias("v"), F.lit(float("inf")).alias("d")))
     _need(points, n)
     first = points.orderBy(hash_uniform(F.col("id"), seed), "id").limit(1).first()
-    picked, chosen = [first.id], [first.v]
-    while len(picked) < n:
-        so_far = spark.createDataFrame(
-            [(i, [float(x) for x in v]) for i, v in zip(picked, chosen)], "id string, v array<double>"
-        )
-        rest = points.join(so_far.select("id"), "id", "left_anti")
-        far = (
-            neighbours(rest, so_far, Want()).select(F.col("qid").alias("id"), "value")
-            .orderBy(F.desc("value"), "id").limit(POOL + 1)
-        )
-        pool = points.join(F.broadcast(far), "id").toPandas().sort_values(
-            ["value", "id"], ascending=[False, True], ignore_index=True
-        )
-        outside = pool.iloc[POOL] if len(pool) > POOL else None
-        pool = pool.head(POOL)
-        ids, near = pool["id"].tolist(), pool["value"].to_numpy().copy()
-        coordinates = np.array(pool["v"].tolist())
-        open_ = np.ones(len(pool), dtype=bool)
-        while len(picked) < n and open_.any():
-            best = min(np.nonzero(open_ & (near == near[open_].max()))[0], key=lambda i: ids[i])
-            if outside is not None and (-near[best], ids[best]) > (-outside["value"], outside["id"]):
-                break
-            picked.append(ids[best])
-            chosen.append(coordinates[best])
-            open_[best] = False
-            near = np.minimum(near, np.sqrt(((coordinates - coordinates[best]) ** 2).sum(axis=1)))
-    return spark.createDataFrame([(i, k + 1) for k, i in enumerate(picked)], result)
+    path = f"{checkpoint_dir(spark)}/picks-{uuid.uuid4().hex}"
+    new, done = [(first.id, first.v)], 0
+    while True:
+        made = spark.createDataFrame([(i, done + k) for k, (i, _) in enumerate(new, 1)], _PICKS)
+        made.coalesce(1).write.mode("append").parquet(path)
+        done += len(new)
+        if done >= n:
+            return spark.read.schema(_PICKS).parquet(path)
+        points = cut(_nearer(points, new))
+        far = points.filter("d >= 0").orderBy(F.desc("d"), "id").limit(POOL + 1).collect()
+        new = _greedy(far, n - done)
+
+
+def _greedy(far: list[Row], most: int) -> list[tuple[str, list[float]]]:
+    """Picks that are certain from the farthest points (id, v, d), in order."""
+    outside = far[POOL] if len(far) > POOL else None
+    pool = far[:POOL]
+    ids, near = [r.id for r in pool], np.array([r.d for r in pool])
+    x, open_, picks = np.array([r.v for r in pool]), np.ones(len(pool), dtype=bool), []
+    while len(picks) < most and open_.any():
+        best = min(np.nonzero(open_ & (near == near[open_].max()))[0], key=lambda i: ids[i])
+        if outside is not None and (-near[best], ids[best]) > (-outside.d, outside.id):
+            break
+        picks.append((ids[best], pool[best].v))
+        open_[best] = False
+        near = np.minimum(near, np.sqrt(((x - x[best]) ** 2).sum(axis=1)))
+    return picks

@@ -25,6 +25,17 @@ class Weights:
     coverage_gap: float = 1.0
 
 
+#: Parts into which the rows of one cluster are dealt when they meet the facts of their cluster.
+SALTS = 8
+
+
+def _with_cluster_facts(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join on cluster_id; the rows of a cluster are dealt to ``SALTS`` keys, each with a copy of its facts."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("log_id"), F.lit(SALTS)).cast("int"))
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, ["cluster_id", "_salt"]).drop("_salt")
+
+
 def novelty(assigned: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
     """Novelty of each log: log_id, cluster_id, novelty.
 
@@ -36,7 +47,7 @@ def novelty(assigned: DataFrame, centroids: DataFrame | None = None) -> DataFram
         centroids = cut(cluster_centroids(assigned))
     embedding = as_double(F.col("embedding"))
     clustered = F.col("cluster_id") != NOISE
-    members = assigned.filter(clustered).join(centroids.drop("size"), "cluster_id").select(
+    members = _with_cluster_facts(assigned.filter(clustered), centroids.drop("size")).select(
         "log_id", "cluster_id", distance(embedding, F.col("centroid")).alias("d")
     )
     noise = assigned.filter(~clustered)
@@ -46,15 +57,17 @@ def novelty(assigned: DataFrame, centroids: DataFrame | None = None) -> DataFram
     )
     # three narrow columns, read twice: once for the largest distance, once to scale
     distances = cut(members.unionByName(outliers))
-    largest = distances.groupBy("cluster_id").agg(F.max("d").alias("top"), F.count("*").alias("members"))
-    scaled = F.when(F.col("top") > 0, F.col("d") / F.col("top")).otherwise(0.0)
-    score = (
-        F.when(~clustered & F.col("top").isNull(), 1.0)
-        .when(~clustered, scaled * NOISE_SPAN + NOISE_BASE)
-        .when(F.col("members") == 1, 1.0)
-        .otherwise(scaled)
+    inside = distances.filter(clustered)
+    largest = inside.groupBy("cluster_id").agg(F.max("d").alias("top"), F.count("*").alias("members"))
+    inside = _with_cluster_facts(inside, largest).withColumn(
+        "novelty", F.when(F.col("members") == 1, 1.0).when(F.col("top") > 0, F.col("d") / F.col("top")).otherwise(0.0)
     )
-    return distances.join(largest, "cluster_id").select("log_id", "cluster_id", score.alias("novelty"))
+    # all noise is one group: its largest distance is a single value, so it needs no join
+    outside = distances.filter(~clustered)
+    top = outside.agg(F.max("d")).scalar()
+    share = F.when(top.isNull(), 1.0).otherwise(F.when(top > 0, F.col("d") / top).otherwise(0.0) * NOISE_SPAN + NOISE_BASE)
+    columns = ["log_id", "cluster_id", "novelty"]
+    return inside.select(columns).unionByName(outside.withColumn("novelty", share).select(columns))
 
 
 def coverage_counts(case_vectors: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -123,10 +136,15 @@ def scored_cluster_label(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return named.withColumn("cluster_label", F.coalesce("cluster_label", F.lit("noise")))
 
 
-def top_candidates(scored: DataFrame, labels: DataFrame, n: int = 30) -> DataFrame:
-    """The best n logs with preview, cluster name and rounded scores."""
-    best = scored.orderBy(F.desc("value_score"), "log_id").limit(n)
-    preview = prompt_preview(F.col("prompt")) if "prompt" in scored.columns else F.lit(None).cast("string")
+def top_candidates(scored: DataFrame, labels: DataFrame, n: int = 30, texts: DataFrame | None = None) -> DataFrame:
+    """The best n logs with preview, cluster name and rounded scores.
+
+    ``texts``: log_id, prompt. Only the prompts of the n best leave their files.
+    """
+    best = cut(scored.orderBy(F.desc("value_score"), "log_id").limit(n))
+    if texts is not None:
+        best = best.drop("prompt").join(texts.select("log_id", "prompt"), "log_id", "left")
+    preview = prompt_preview(F.col("prompt")) if "prompt" in best.columns else F.lit(None).cast("string")
     return scored_cluster_label(best, labels).select(
         "log_id", "feature_name", preview.alias("prompt_preview"), "cluster_id", "cluster_label",
         *[F.round(c, 3).alias(c) for c in ("value_score", "failure_signal", "novelty")],

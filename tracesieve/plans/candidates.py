@@ -58,10 +58,10 @@ def rank_candidates(
     names = cut(names)
     centroids = cut(cluster_centroids(assigned))
     counts = scoring.coverage_counts(approved, centroids)
-    scored = scoring.score_candidates(logs, assigned, counts, feature_weights, weights, centroids)
+    scored = scoring.score_candidates(logs.drop("system_prompt", "prompt", "response"), assigned, counts, feature_weights, weights, centroids)
     return {
         "assigned": assigned.drop("embedding"),
         "clusters": names,
-        "candidates": scoring.top_candidates(scored, names, top_n),
+        "candidates": scoring.top_candidates(scored, names, top_n, logs),
         "previews": sample_previews(logs, embeddings, preview_n, seed),
     }

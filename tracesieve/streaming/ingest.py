@@ -8,16 +8,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracesieve.functions.text import redact_log_fields, redact_text
 from tracesieve.operators.quality import log_errors
+from tracesieve.sources.snapshots import commit, committed
 from tracesieve.sources.tables import UNREADABLE, latest_by_key, parsed_lines, with_defaults
 
 
-def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str, redact: bool = True) -> StreamingQuery:
+#: Parts of the resolved rows; a batch writes anew only those that it touches.
+BUCKETS = 64
+
+
+def ingest_stream(
+    spark: SparkSession, source: str, table: str, checkpoint: str, redact: bool = True, buckets: int = BUCKETS,
+) -> StreamingQuery:
     """Append new JSONL files of ``source`` to ``table``; start it again to resume.
 
-    Each batch overwrites its own ``batch_id`` folder, so a replayed batch
-    changes nothing and no batch rewrites the table. Invalid rows go to
-    ``{table}_invalid``; ``line`` there has the text of an unreadable line. Personal
-    data is masked everywhere unless ``redact`` is off. There is no state and no watermark.
+    Each batch overwrites its own ``batch_id`` folder, and its newest row of every log_id is
+    merged into the resolved rows of its bucket. A manifest, committed by one rename, names
+    the folder of each bucket, so a replayed batch changes nothing and readers open resolved
+    rows only. Rows of a later batch replace those of earlier ones whatever their time.
+    Invalid rows go to ``{table}_invalid``; ``line`` there has the text of an unreadable line.
+    Personal data is masked everywhere unless ``redact`` is off. There is no watermark.
     """
     parsed = parsed_lines(spark.readStream.text(source))
     line = redact_text(F.col("value")) if redact else F.col("value")
@@ -33,6 +42,7 @@ def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str,
                              ("_invalid", batch.filter(F.size("errors") > 0))):
             part.write.mode("overwrite").parquet(f"{table}{suffix}/batch_id={batch_id}")
         batch.unpersist()
+        merge_batch(spark, table, batch_id, buckets)
 
     return (
         checked.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -40,12 +50,44 @@ def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str,
     )
 
 
+def _manifest(spark: SparkSession, table: str, before: int | None = None) -> dict[int, str]:
+    """Bucket and folder of the resolved rows after the last batch, or after those ``before`` a batch."""
+    known = [n for n in committed(spark, f"{table}_resolved", "manifest_") if before is None or n < before]
+    if not known:
+        return {}
+    return {r.bucket: r.folder for r in spark.read.parquet(f"{table}_resolved/manifest_{known[-1]}").collect()}
+
+
+def merge_batch(spark: SparkSession, table: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Merge a stored batch into the resolved rows; nothing happens if that was done before."""
+    path = f"{table}_resolved"
+    if batch_id in committed(spark, path, "manifest_"):
+        return
+    batch = spark.read.parquet(f"{table}/batch_id={batch_id}")
+    newest = latest_by_key(batch, "log_id", ["timestamp"]).withColumn("bucket", F.pmod(F.xxhash64("log_id"), F.lit(buckets)).cast("int"))
+    folders = _manifest(spark, table, batch_id)
+    touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+    merged, old = newest, [folders[b] for b in touched if b in folders]
+    if old:
+        before = spark.read.schema(newest.schema).option("basePath", path).parquet(*[f"{path}/{folder}" for folder in old])
+        merged = before.join(newest.select("log_id"), "log_id", "left_anti").select(newest.columns).unionByName(newest)
+    if touched:
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+    folders |= {b: f"batch={batch_id}/bucket={b}" for b in touched}
+    rows = spark.createDataFrame(list(folders.items()), "bucket int, folder string")
+    commit(spark, path, f"manifest_{batch_id}", lambda staging: rows.coalesce(1).write.parquet(staging))
+
+
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
-    """The newest row of every log_id over all batches."""
-    rows = spark.read.option("basePath", table).parquet(f"{table}/batch_id=*")
-    return latest_by_key(rows, "log_id", ["batch_id", "timestamp"]).drop("batch_id")
+    """The newest row of every log_id over all batches: the resolved rows, nothing else is opened."""
+    folders = _manifest(spark, table)
+    schema = spark.read.option("basePath", table).parquet(f"{table}/batch_id=*").drop("batch_id").schema
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{table}_resolved/{folder}" for folder in folders.values()])
 
 
 def compact(spark: SparkSession, table: str, target: str) -> None:
-    """Write the resolved rows as one batch of a new table folder."""
+    """Write the resolved rows as the first batch of a new table folder."""
     read_ingested(spark, table).write.mode("overwrite").parquet(f"{target}/batch_id=0")
+    merge_batch(spark, target, 0)

@@ -19,7 +19,7 @@ from tracesieve.sources import export, snapshots, tables
 from tracesieve.streaming import ingest
 from workload.registry import Source, query
 from workload.table_queries import _cases_for_review, as_of
-from workload.text_queries import DUCK_JUDGE_PROMPT, DUCK_WEIGHT
+from workload.text_queries import DUCK_JUDGE_PROMPT, DUCK_WEIGHT, duck_redact
 from workload.vector_queries import _CENTROIDS, _DIST, _DUCK_SCORED, _DUCK_U, _blobs
 
 
@@ -212,14 +212,15 @@ def _changelog_entry(s: Source):
     return entries[0].unionByName(entries[1]).unionByName(entries[2]).drop("exported_at")
 
 
-@query("ingest_stream", f"select log_id, prompt, retry_count from fx_records where {_DUCK_VALID}")
+@query("ingest_stream", f"""with {duck_redact('fx_records', 'log_id', 'prompt', 'p')}
+select log_id, p8.t as prompt, retry_count from fx_records join p8 using (log_id) where {_DUCK_VALID}""")
 def _ingest_stream(s: Source):
     path = _scratch(s)
     logs = _log_table(s)
     stale = logs.withColumn("retry_count", F.lit(0)).filter(F.col("error_status").isNotNull())
     for part in (stale, logs):
         part.write.mode("append").json(f"{path}/in")
-        ingest.ingest_stream(s.spark, f"{path}/in", f"{path}/logs", f"{path}/ckpt", redact=False).awaitTermination()
+        ingest.ingest_stream(s.spark, f"{path}/in", f"{path}/logs", f"{path}/ckpt", buckets=8).awaitTermination()
     return ingest.read_ingested(s.spark, f"{path}/logs").select("log_id", "prompt", "retry_count")
 
 
@@ -446,7 +447,7 @@ with ranked as (select b.log_id, b.v, {DUCK_WEIGHT} as weight, l.* exclude (log_
       when l.feature_name in ('sql_query_generator', 'code_review_assistant') then 'golden_answer' else 'rubric' end as eval_type
   from fx_blobs b join fx_records l on l.log_id = b.log_id),
 asked as (select *, {_DUCK_H.format("'Feature under test: ' || feature_name || chr(10) || '=== instructions ===' || chr(10) || system_prompt || chr(10) || '=== request ===' || chr(10) || prompt")} as h from ranked),
-shown as (select *, case when eval_type = 'rubric' then array_to_string(list_transform(range(1, 2 + h % 4), lambda i: '+ point ' || i), chr(10))
+shown as (select *, case when eval_type = 'rubric' then array_to_string(list_transform(range(1 + h % 4), lambda i: '+ point ' || i), chr(10))
                     else '= ' || repeat('answers ', cast(1 + h % 5 as bigint)) end as label_text from asked),
 judged as (select *, {_DUCK_H.format("'eval_type: ' || eval_type || chr(10) || chr(10) || label_text")} as q from shown),
 r as (select row_number() over (order by weight desc, log_id) as rn, log_id as id, v, h % 11 = 0 or q % 11 = 0 as bad, 0.5 * (q % 101) / 100 + 0.5 as confidence from judged),

@@ -207,7 +207,7 @@ def _sample_failure_biased(s: Source):
     return sampling.sample_failure_biased(s("fx_logs"), 200, 42).select("log_id", "feature_name")
 
 
-@query("sample_diverse", f"""
+_DUCK_DIVERSE = f"""
 with p as (select log_id as id, cast(embedding as double[]) as v from fx_emb),
 first as (select id, v from p order by {_DUCK_U.format('id')}, id limit 1),
 g as (
@@ -215,10 +215,22 @@ g as (
   union all
   select g.pick + 1, g.id, g.v, least(g.d, list_distance(g.v, n.v)), n.id, n.v
   from g join (select g.pick, g.id, g.v from g order by g.d desc, g.id limit 1) n on n.pick = g.pick
-  where g.pick < 10)
-select distinct chosen as id, pick from g""")
+  where g.pick < {{}})
+select distinct chosen as id, pick from g"""
+
+
+def _diverse(s: Source, n: int):
+    return sampling.sample_diverse(s("fx_emb").select(F.col("log_id").alias("id"), F.col("embedding").alias("v")), n, 42)
+
+
+@query("sample_diverse", _DUCK_DIVERSE.format(10))
 def _sample_diverse(s: Source):
-    return sampling.sample_diverse(s("fx_emb").select(F.col("log_id").alias("id"), F.col("embedding").alias("v")), 10, 42)
+    return _diverse(s, 10)
+
+
+@query("sample_diverse_many", _DUCK_DIVERSE.format(300))
+def _sample_diverse_many(s: Source):
+    return _diverse(s, 300)
 
 
 # ---- scoring ----
@@ -312,7 +324,7 @@ select v.log_id, v.feature_name, substr(r.prompt, 1, 150) as prompt_preview, clu
 from valued v join fx_records r on r.log_id = v.log_id
 order by v.value_score desc, v.log_id limit 30""")
 def _top_candidates(s: Source):
-    return scoring.top_candidates(scored(s, "fx_records"), clusters.unnamed_clusters(s("fx_emb")))
+    return scoring.top_candidates(scored(s), clusters.unnamed_clusters(s("fx_emb")), texts=s("fx_records"))
 
 
 @query("candidate_quality_report", f"""{_DUCK_SCORED},
