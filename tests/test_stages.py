@@ -61,6 +61,61 @@ def test_malformed_and_empty_replies_are_asked_again(spark, tmp_path):
     assert got.count() == 6 and got.filter("error is null and reply like '{%'").count() == 6
 
 
+def recorder(folder, reply="ok", stop_at=None):
+    """A model that notes each prompt as a file, and ends its process at one."""
+
+    def model(batch):
+        for _, user in batch:
+            if user == stop_at:
+                raise SystemExit(1)
+            (folder / user.replace(" ", "_")).write_text("")
+        return [reply] * len(batch)
+
+    return model
+
+
+def test_a_stopped_job_asks_only_the_rest(spark, tmp_path):
+    asked = prompts(spark, 40)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    how = {"store": str(tmp_path / "store"), "wave": 5, "batch": 1, "retries": 0}
+    with pytest.raises(Exception):
+        modelmap.llm_map(asked, recorder(tmp_path / "a", stop_at="q 17"), "t", **how)
+    kept = {r.call_id for r in modelmap.stored_answers(spark, str(tmp_path / "store" / "t")).collect()}
+    assert 0 < len(kept) < 40 and "q17" not in kept
+    got = {r.call_id: r.reply for r in modelmap.llm_map(asked, recorder(tmp_path / "b"), "t", **how).collect()}
+    assert got == {f"q{i}": "ok" for i in range(40)}
+    assert {f.name.replace("_", "") for f in (tmp_path / "b").iterdir()} == {f"q{i}" for i in range(40)} - kept
+
+
+def test_retries_are_one_budget_over_all_starts(spark, tmp_path):
+    how = {"store": str(tmp_path / "store"), "base_delay": 0.0}
+    for start, retries in enumerate((1, 1, 2)):
+        got = modelmap.llm_map(prompts(spark, 3), lambda batch: [""] * len(batch), "t", retries=retries, **how).collect()
+        assert {(r.reply, r.error) for r in got} == {("", "empty reply")}
+        attempts = {r.attempt for r in modelmap.stored_answers(spark, str(tmp_path / "store" / "t")).collect()}
+        assert attempts == {(2, 2, 3)[start]}
+
+
+def test_a_dead_model_ends_the_loop(spark, source, tmp_path):
+    def down(batch):
+        for _, user in batch:
+            (tmp_path / str(_digest(user))).write_text("")
+        raise RuntimeError("down")
+
+    logs = source("fx_records").filter("length(prompt) > 0")
+    vectors = source("fx_blobs").select(F.col("log_id").alias("id"), F.when(F.col("log_id") != "log_000000000003", F.col("v")).alias("v"))
+    candidates = vectors.select(F.col("id").alias("log_id"), F.lit(0).alias("cluster_id"), F.lit(1.0).alias("value_score"))
+    cases, rejected, outcomes = building.build_cases(candidates, logs, vectors, None, down, as_of(), retries=0)
+    got = outcomes.collect()
+    assert {r.outcome for r in got} == {"failed"} and cases.count() == rejected.count() == 0
+    reasons = {r.log_id: r.reason for r in got}
+    assert reasons.pop("log_000000000003") == "no usable vector"
+    assert set(reasons.values()) - {"no log"} == {"RuntimeError: down", "not tried: the model gave no answers"}
+    asked = sum(r == "RuntimeError: down" for r in reasons.values())
+    assert len(list(tmp_path.iterdir())) == asked < len(reasons) / 2  # one round: the rows first accepted
+
+
 def sequential_cases(rows):
     """The one-by-one loop: dedup, label, judge, accept."""
     def ask(system, user):

@@ -201,7 +201,7 @@ def test_dedup_in_blocks_with_existing_cases(spark, near_copies, small_blocks):
 def test_check_duplicates_without_cases(spark, near_copies):
     df = frame(spark, near_copies[:5])
     got = dedup.check_duplicates(df, df.limit(0)).collect()
-    assert {(r.is_duplicate, r.reason) for r in got} == {(False, "no existing cases to compare against")}
+    assert {(r.is_duplicate, r.reason) for r in got} == {(False, "new; nothing to compare with")}
 
 
 def clusters_of(rows):
