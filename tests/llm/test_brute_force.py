@@ -252,6 +252,21 @@ def test_tight_groups_that_touch(spark):
     assert got.component_id.tolist() == [i // 80 * 80 for i in range(480)]
 
 
+def test_orders_without_other_components_give_no_pairs():
+    import pandas as pd
+
+    sketch = np.zeros((5, vectors.WORDS + 1), np.int64)
+    frame = pd.DataFrame({"turn": 0, "key": 0, "node": range(5), "s": list(sketch)})
+    assert list(vectors._others_in_order(iter([frame, frame]))) == []
+    sketch[3:, vectors.WORDS] = 7
+    frame["s"] = list(sketch)
+    split = [frame.iloc[:2], frame.iloc[2:4], frame.iloc[4:]]
+    for frames in ([frame], split):
+        found = {(u, w) for p in vectors._others_in_order(iter(frames)) for u, w in zip(p["u"], p["w"])}
+        assert found == {(a, b) for x in (0, 1, 2) for y in (3, 4) for a, b in ((x, y), (y, x))}
+    assert list(vectors._neighbours_in_order(iter([frame.iloc[:1]]))) == []
+
+
 def test_vector_counts_do_not_depend_on_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal(8) + 0.2 * rng.standard_normal((90, 8))

@@ -79,7 +79,8 @@ def _neighbours_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
             i = i[turn[i] == turn[i + step]]
             parts += [(i, i + step), (i + step, i)]
         a, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        yield _pairs(node, sketch, a, b)
+        if len(a):
+            yield _pairs(node, sketch, a, b)
         tail = frame.tail(REACH).reset_index(drop=True)
 
 
@@ -110,7 +111,9 @@ def _others_in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             j = start[i] - step
             met = (turn[i] == turn[j]) & (sketch[i, WORDS] != sketch[j, WORDS])
             parts += [(i[met], j[met]), (j[met], i[met])]
-        yield _pairs(node, sketch, np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        a, b = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        if len(a):
+            yield _pairs(node, sketch, a, b)
         last = int(start[-1])
         tail = frame.iloc[[*range(max(0, last - REACH), last), *range(max(last, n - REACH), n)]].reset_index(drop=True)
 
