@@ -22,6 +22,8 @@ HEADLINE = (
     "sample_random", "sample_failure_biased", "sample_diverse", "cluster_centroids", "nearest_centroid",
     "representatives", "similar_approved", "check_duplicates", "dedup_ordered", "similarity_pairs",
     "density_cluster", "score_candidates", "top_candidates", "run_cases",
+    "similarity_pairs_raw", "dedup_ordered_raw", "sample_diverse_many", "trace_in_order", "llm_map", "generate_labels", "judge_labels",
+    "embed_text", "ingest_stream", "upsert_by_key", "export_versioned",
 )
 
 
