@@ -147,7 +147,10 @@ def mix_sources(docs: DataFrame, seed: str = SEED, weights=WEIGHTS, max_epochs:
 def repeated_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, the document at the cut shortened.
 
-    ``n_chars``, where ``docs`` has it, follows a shortened text.
+    Documents without words (null and empty texts) are taken no times and vanish. Repeated
+    rows are rows of their own; a null source is a source. Long documents are cut at their
+    word without limit. An empty table gives an empty one. ``n_chars``, where ``docs`` has
+    it, follows a shortened text.
     """
     name = spare_name(docs, "mix")
     mixed, size, extra = mix_sources(docs, **how), F.col(f"{name}.size"), F.col(f"{name}.extra")

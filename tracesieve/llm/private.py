@@ -170,6 +170,8 @@ def private_data(docs: DataFrame) -> DataFrame:
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; no row is dropped.
 
+    Null texts stay null and empty ones empty; texts are masked whole, however long; repeated
+    rows and rows without an id are masked alike. An empty table gives an empty one.
     Overlapping spans are masked as one, named after the first. Texts without a digit
     or ``@`` have no spans and pass by the join. ``n_chars``, where present, follows.
     """

@@ -130,8 +130,10 @@ def score(text: Column, model: Trees) -> Column:
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``cut``; all columns stay.
 
-    Each row is judged by its text alone, so repeated rows share one fate. Without any
-    usable label every text gets the prior of 0.5 and stays.
+    Each row is judged by its text alone, so repeated rows share one fate, and null ids or
+    other null columns do not matter. A null text is judged like an empty one; texts are read
+    whole, however long. A score equal to ``cut`` stays. An empty table gives an empty one.
+    Without any usable label every text gets the prior of 0.5 and stays.
     """
     name = spare_name(docs, "quality_score")
     scored = docs.withColumn(name, score(F.col("text"), fit(docs, labels)))

@@ -185,7 +185,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group; of its repeated rows one.
 
-    Rows without an id stay: nothing shows that they repeat anything.
+    Rows without an id stay: nothing shows that they repeat anything. Texts without words
+    (null ones too) have one fingerprint and so are one group. Of an id with several texts one
+    row stays, if its id leads its group. Texts are read whole, however long. An empty table
+    gives an empty one.
     """
     groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
     keep = cut(groups.where("doc_id = component_id").select("doc_id").distinct())
