@@ -1,4 +1,8 @@
-"""From raw documents to training ids: five stages, each written and read again."""
+"""From raw documents to training ids: five stages, each written and read again.
+
+Every stage takes null values in any column, empty and very long texts, repeated rows, ties,
+further columns and an empty table; what they give is said at the operators.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +16,33 @@ from tracesieve.session import checkpoint_dir
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is fitted on the stage's own documents."""
+    """Documents that the quality classifier accepts; it is fitted on the stage's own documents.
+
+    A text without words is judged as such; rows with equal texts share one fate.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the smallest id, and rows without an id.
+
+    Documents without words are one group.
+    """
     return simhash.one_of_each(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by the name of its kind."""
+    """All documents, personal data replaced by the name of its kind; null texts stay null."""
     return private.masked(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated to the target of their source."""
+    """Documents repeated to the target of their source; documents without words are taken no times."""
     return mixing.repeated_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix."""
+    """Piece ids of every document of the mix; a text without pieces gives an empty list."""
     return pieces.encode_documents(docs)
 
 
