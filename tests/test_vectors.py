@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests import brute
-from tracesieve.operators import dedup, density, sampling, scoring, vectors
+from tracesieve.operators import dedup, density, embedding, sampling, scoring, vectors
 from tracesieve.operators.vectors import Want
 
 
@@ -299,3 +299,22 @@ def test_samples_move_no_whole_rows(spark, source):
     logs = source("fx_records")
     plan = sampling.sample_random(logs, 50, 1)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in plan and "rangepartitioning" not in plan
+
+
+def test_prompts_become_vectors_inside_the_plan(spark):
+    texts = ["cats chase mice", "cats chase mice at night", "stock prices fall", "stock prices fell", "...", None, "unrelated words only"]
+    logs = spark.createDataFrame([(f"l{i}", t) for i, t in enumerate(texts)], "log_id string, prompt string")
+    cases = spark.createDataFrame([("c1", "approved", texts[0]), ("c2", "approved", texts[2]), ("c3", "draft", texts[3])], "case_id string, status string, prompt string")
+    of_logs, of_cases = embedding.prompt_vectors(logs, cases)
+    v = {r[0]: None if r[1] is None else np.array(r[1], float) for r in [*of_logs.collect(), *of_cases.select("id", "v").collect()]}
+    assert len(v) == 10 and v["l4"] is None and v["l5"] is None and (v["l0"] == v["c1"]).all()
+    got = {r.id: r for r in dedup.check_duplicates(of_logs.select(of_logs.log_id.alias("id"), of_logs.embedding.alias("v")), of_cases.filter("status = 'approved'")).collect()}
+    assert len(got) == len(texts)  # no row is lost for want of a vector
+    for i in range(len(texts)):
+        r = got[f"l{i}"]
+        if v[f"l{i}"] is None:
+            assert not r.is_duplicate and r.most_similar_case_id is None
+        else:
+            best = max(("c1", "c2"), key=lambda c: (round(v[f"l{i}"] @ v[c], 9), c == "c1"))
+            assert r.most_similar_case_id == best and r.similarity == pytest.approx(v[f"l{i}"] @ v[best], abs=1e-6)
+    assert got["l0"].is_duplicate and not got["l3"].is_duplicate

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracesieve.functions import rules
-from tracesieve.operators import density, embedding, modelmap, summaries, trace
+from tracesieve.operators import dedup, density, embedding, modelmap, summaries, trace, vectors
 from tracesieve.plans import candidates as ranking
 from tracesieve.plans import cases as building
 from tracesieve.plans import evaluation
@@ -272,13 +272,31 @@ def _trace_in_order(s: Source):
 @query("embed_text", """
 select doc_id, true as unit, 256 as dims from documents""")
 def _embed_text(s: Source):
-    vectors = embedding.embed_text(s("documents").select("doc_id", "text"), "text")
+    embedded = embedding.embed_text(s("documents").select("doc_id", "text"), "text")
     norm = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
-    return vectors.select(
+    return embedded.select(
         "doc_id", (F.abs(norm - 1.0) < 1e-5).alias("unit"), F.size("embedding").cast("bigint").alias("dims")
     )
 
 
+@query("similar_approved_prompts")
+def _similar_approved_prompts(s: Source):
+    """From the texts: every draft against every approved case by prompt."""
+    cases = s("fx_case_rows").select("case_id", "status", "prompt")
+    _, of_cases = embedding.prompt_vectors(s("fx_records").select("log_id", "prompt").limit(0), cases)
+    found = vectors.most_similar(of_cases.filter("status = 'draft'"), of_cases.filter("status = 'approved'"), 3)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("check_duplicate_prompts")
+def _check_duplicate_prompts(s: Source):
+    """From the texts: the prompt of every log against all approved cases; prompts without words have no match."""
+    cases = s("fx_case_rows").filter("status = 'approved'").select("case_id", "status", "prompt")
+    of_logs, of_cases = embedding.prompt_vectors(s("fx_records").select("log_id", "prompt"), cases)
+    found = dedup.check_duplicates(of_logs.select(F.col("log_id").alias("id"), F.col("embedding").alias("v")), of_cases)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("density_cluster", """
 select log_id as id, dense_rank() over (order by first_id) - 1 as cluster_id
 from (select log_id, min(log_id) over (partition by label) as first_id from fx_blobs)""")
