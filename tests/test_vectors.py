@@ -302,7 +302,7 @@ def test_samples_move_no_whole_rows(spark, source):
 
 
 def test_prompts_become_vectors_inside_the_plan(spark):
-    texts = ["cats chase mice", "cats chase mice at night", "stock prices fall", "stock prices fell", "...", None, "unrelated words only"]
+    texts = ["cats chase mice", "cats chase mice at night", "stock prices fall", "stock prices fell", "  \n ", None, "unrelated words only"]
     logs = spark.createDataFrame([(f"l{i}", t) for i, t in enumerate(texts)], "log_id string, prompt string")
     cases = spark.createDataFrame([("c1", "approved", texts[0]), ("c2", "approved", texts[2]), ("c3", "draft", texts[3])], "case_id string, status string, prompt string")
     of_logs, of_cases = embedding.prompt_vectors(logs, cases)
