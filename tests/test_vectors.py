@@ -318,3 +318,40 @@ def test_prompts_become_vectors_inside_the_plan(spark):
             best = max(("c1", "c2"), key=lambda c: (round(v[f"l{i}"] @ v[c], 9), c == "c1"))
             assert r.most_similar_case_id == best and r.similarity == pytest.approx(v[f"l{i}"] @ v[best], abs=1e-6)
     assert got["l0"].is_duplicate and not got["l3"].is_duplicate
+
+
+@pytest.mark.parametrize("want", [w for w in WANTS if not w.earlier], ids=str)
+def test_pairs_of_blocks_shuffle_rows_once(spark, want, monkeypatch):
+    """Rows that lie far apart visit every block: the blocks are packed and the answers stay."""
+    monkeypatch.setattr(vectors, "BLOCK", 12)
+    in_place, used = vectors._meet_in_place, []
+    monkeypatch.setattr(vectors, "_meet_in_place", lambda *a: used.append(1) or in_place(*a))
+    x = unit(np.random.default_rng(8).normal(size=(150, 30)))
+    x[140:] = unit(x[:10] + 0.02)  # something to find within the radius
+    ids, ord_, grp, core = [f"{i:05d}" for i in range(150)], [0.0] * 150, [str(i % 4) for i in range(150)], [0.3 + 0.01 * (i % 5) for i in range(150)]
+    df = spark.createDataFrame([(a, [float(v) for v in b], c, d, e) for a, b, c, d, e in zip(ids, x, ord_, grp, core)], "id string, v array<double>, ord double, grp string, core double")
+    got = sorted((r.qid, r.bid, r.n) for r in vectors.neighbours(df, df, want).collect())
+    assert got == plain(x, ids, want, ord_, grp, core)
+    assert used or want.within is not None  # a small radius leaves few blocks
+
+
+def test_head_rows_rule_out_the_rest(spark, near_copies, monkeypatch):
+    monkeypatch.setattr(dedup, "HEAD", 30)
+    settled = []
+    settle = dedup._settle
+    monkeypatch.setattr(dedup, "_settle", lambda ids, *a, **k: settled.append(ids.count()) or settle(ids, *a, **k))
+    x = np.concatenate([near_copies, np.zeros((2, 8))])
+    score = np.random.default_rng(1).integers(0, 9, len(x)).astype(float)
+    order = sorted(range(len(score)), key=lambda i: (-score[i], i))
+    want = brute.greedy_dedup(near_copies, [i for i in order if i < 260], 0.92) | {260, 261}
+    rows = frame(spark, x, score)
+    assert {int(r.id) for r in dedup.dedup_ordered(rows).collect() if r.accepted} == want
+    assert sum(settled) < 150  # before: all 223
+    # failed rows shadow nobody, and the rest is decided as if they were not there
+    arranged = dedup.arrange(rows)
+    first = dedup.first_decision(arranged)
+    bad = {i for i in want if i % 3 == 0}
+    failed = spark.createDataFrame([(f"{i:05d}",) for i in bad], "id string")
+    again = {int(r.id) for r in dedup.decide_again(arranged, first, failed, failed).collect()}
+    expected = brute.greedy_dedup(near_copies, [i for i in order if i < 260 and i not in bad], 0.92) | {260, 261} - bad
+    assert again == expected, (again - expected, expected - again)
