@@ -101,6 +101,21 @@ def test_license_places(spark, odd):
     assert got[3].labels == "cc-by-nc" and got[6].labels == "mit-notice" and 0.7 <= got[6].score < 1
 
 
+def test_texts_without_a_license_are_only_counted(spark):
+    """The words that decide whether a text is scanned are in every span that can be verified."""
+    texts = []
+    for _, passage in licenses.TEMPLATES:
+        words = re.findall(r"[a-z0-9]+", passage)
+        for gap in range(len(words)):  # each start, and a hole in the middle
+            texts += [" ".join(words[gap:]), " ".join(words[: len(words) - gap]), " ".join([*words[:gap], "x", *words[gap + 1 :]]).upper()]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "plain words", "a MIT one"])], "doc_id long, text string")
+    words = docs.selectExpr("doc_id", "xxhash64(text) as h").join(docs.select("doc_id", licenses.word_array(docs.text).alias("words")), "doc_id")
+    spans = {r.doc_id for r in licenses.verified_spans(words).collect()}
+    kept = {r.doc_id for r in docs.where(licenses._may_hold(F.lower("text"), licenses.TEMPLATES)).collect()}
+    assert len(spans) > len(licenses.TEMPLATES) and spans <= kept and not {len(texts), len(texts) + 1} & kept
+    assert {r.doc_id for r in licenses.license_scan(docs).where("score > 0").collect()} >= spans
+
+
 def test_long_documents_are_cut_at_their_word(spark):
     long = "  " + "wort " * 150_000
     docs = spark.createDataFrame([(1, long, "a", len(long)), (2, "x y z", "b", 5)], "doc_id long, text string, source string, n_chars long")

@@ -31,13 +31,47 @@ GRAM, DRIFT, GAP = 3, 3, 8
 #: Share of the template's words that a verified span covers, and of its own words that match.
 COVERED, DENSE = 0.7, 0.6
 
+#: ``WORD`` with every separator by itself, which the regex engine looks up in one table.
+_LISTED = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() or chr(c).isupper()) + "]+"
+#: The same for texts that are not lower-cased.
+_COUNTED = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def word_array(text: Column) -> Column:
     """Words after A-Z are lower-cased; a null text has none."""
     low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower())
-    return F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1))
+    return F.regexp_extract_all(low, F.lit(_LISTED), F.lit(0))
+
+
+def _reach(words: list[str], without: list[str]) -> int:
+    """Words of a passage that grams free of the words ``without`` can cover."""
+    grams = [range(at, at + GRAM) for at in range(len(words) - GRAM + 1) if not set(words[at : at + GRAM]) & set(without)]
+    return len({at for gram in grams for at in gram})
+
+
+def _may_hold(low: Column, templates) -> Column:
+    """False only for lower-cased texts that hold neither a base phrase nor a verified span.
+
+    A span covers ``COVERED`` of its template by grams. Some words are in every such set of
+    grams, so all of them must occur; where there is none, one of a few words must.
+    """
+    test = low.contains("license")
+    for _, passage in templates:
+        words = re.findall(r"[a-z0-9]+", passage)
+        longest = sorted(set(words), key=lambda w: (-len(w), w))
+        enough = lambda without: _reach(words, without) < COVERED * len(words)
+        needed = [w for w in longest if enough([w])]
+        some = next(longest[:n] for n in range(len(longest) + 1) if enough(longest[:n]))
+        hold = F.lit(True)
+        for word in needed:
+            hold = hold & low.contains(word)
+        if not needed:
+            hold = F.lit(False)
+            for word in some:
+                hold = hold | low.contains(word)
+        test = test | hold
+    return test
 
 
 def _template_grams(spark, templates) -> DataFrame:
@@ -105,12 +139,17 @@ def license_scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     A null or empty text has no words and no labels. Repeated rows give equal results; a
     null id is allowed; other columns are ignored.
     """
-    words = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), word_array(F.col("text")).alias("words"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", "text", F.xxhash64(text).alias("h"))
+    # most texts hold no license: they are only counted
+    suspect = keyed.where(F.exists(F.array(F.lower(text)), lambda low: _may_hold(low, templates)))
     found = cut(
-        verified_spans(words, templates).groupBy("doc_id", "h")
+        verified_spans(suspect.select("doc_id", "h", word_array(F.col("text")).alias("words")), templates).groupBy("doc_id", "h")
         .agg(F.collect_set("label").alias("more"), F.max("coverage").alias("best"))
     )
-    rows = words.select("doc_id", "h", F.size("words").cast("long").alias("n_words"), _phrase_places(F.col("words")).alias("base"))
+    n_words = F.size(F.regexp_extract_all(text, F.lit(_COUNTED), F.lit(0))).cast("long")
+    words = keyed.select("doc_id", "h", n_words.alias("n_words"), F.when(F.lower(text).contains("license"), word_array(F.col("text"))).alias("words"))
+    rows = words.select("doc_id", "h", "n_words", _phrase_places(F.col("words")).alias("base"))
     joined = rows.alias("d").join(found.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.h = s.h"), "left")
     base = F.coalesce("base", F.array().cast("array<struct<pos:bigint,label:string>>"))
     labels = F.array_distinct(base["label"])
