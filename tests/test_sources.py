@@ -202,3 +202,24 @@ def test_cluster_without_checkpoint_dir_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """Conditions on the fields of a record do not parse its line again."""
+    lines = ['{"log_id": "a", "system_prompt": "s", "prompt": "p", "response": "r"}', '{"log_id": "b", "prompt": ""}', '{"log_id": "c", ', "  ", "null", "7"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/in")
+    valid, bad = tables.read_logs_jsonl(spark, f"{tmp_path}/in")
+    for part in (valid, bad):
+        assert part._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {r.log_id for r in valid.collect()}.isdisjoint({"b", "c"})
+    assert {r.value for r in bad.collect()} >= set(lines[1:3]) and bad.count() + valid.count() == len(lines) - 1
+
+
+def test_newest_rows_move_only_repeated_ids(spark, monkeypatch):
+    rows = [("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", 1, "x"), (None, 1, "p"), (None, 2, "q")]
+    batch = spark.createDataFrame(rows, "log_id string, timestamp long, prompt string")
+    moved = []
+    latest = ingest.latest_by_key
+    monkeypatch.setattr(ingest, "latest_by_key", lambda df, *a: moved.append(df.count()) or latest(df, *a))
+    got = sorted((r.log_id or "", r.timestamp, r.prompt) for r in ingest._newest(batch).collect())
+    assert got == [("", 2, "q"), ("a", 3, "y"), ("b", 1, "x")] and moved == [5]

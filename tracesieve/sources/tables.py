@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracesieve.operators.quality import validate_logs
+from tracesieve.operators.quality import log_errors
 from tracesieve.schemas import CASE, LIST_FIELDS, LOG
 
 _BAD = "_bad_line"
@@ -22,17 +22,22 @@ def read_logs_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     Lines are split and parsed on executors; blank lines are skipped.
     """
     parsed = parsed_lines(spark.read.text(path))
-    rows = parsed.filter("readable").select("value", "r.*")
-    valid, invalid = validate_logs(with_defaults(rows))
-    unreadable = parsed.filter("not readable").select("value", F.array(F.lit(UNREADABLE)).alias("errors"))
-    return valid.drop("value"), unreadable.unionByName(invalid.select("value", "errors"))
+    rows = with_defaults(parsed.select("value", "r.*", "readable"))
+    errors = F.when(F.col("readable"), log_errors()).otherwise(F.array(F.lit(UNREADABLE)))
+    checked = rows.withColumn("errors", errors)
+    valid = checked.filter(F.size("errors") == 0).drop("value", "readable", "errors")
+    return valid, checked.filter(F.size("errors") > 0).select("value", "errors")
 
 
 def parsed_lines(lines: DataFrame) -> DataFrame:
-    """``value`` (the line), ``r`` (its log record) and ``readable``; blank lines are skipped."""
+    """``value`` (the line), ``r`` (its log record) and ``readable``; blank lines are skipped.
+
+    The record is a generated row, so that conditions on its fields do not parse the line again.
+    """
     lines = lines.filter(F.length(F.trim("value")) > 0)
     schema = T.StructType(LOG.fields + [T.StructField(_BAD, T.StringType(), True)])
-    parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
+    record = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    parsed = lines.select("value", F.explode(F.array(record)).alias("r"))
     readable = F.col("r").isNotNull() & F.col(f"r.{_BAD}").isNull()
     return parsed.select("value", F.col("r").dropFields(_BAD).alias("r"), readable.alias("readable"))
 
