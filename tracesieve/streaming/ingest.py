@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracesieve.functions.text import redact_log_fields, redact_text
 from tracesieve.operators.quality import log_errors
+from tracesieve.session import cut
 from tracesieve.sources.snapshots import commit, committed
 from tracesieve.sources.tables import UNREADABLE, latest_by_key, parsed_lines, with_defaults
 
@@ -64,7 +65,7 @@ def merge_batch(spark: SparkSession, table: str, batch_id: int, buckets: int = B
     if batch_id in committed(spark, path, "manifest_"):
         return
     batch = spark.read.parquet(f"{table}/batch_id={batch_id}")
-    newest = latest_by_key(batch, "log_id", ["timestamp"]).withColumn("bucket", F.pmod(F.xxhash64("log_id"), F.lit(buckets)).cast("int"))
+    newest = _newest(batch).withColumn("bucket", F.pmod(F.xxhash64("log_id"), F.lit(buckets)).cast("int"))
     folders = _manifest(spark, table, batch_id)
     touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most ``buckets`` rows
     merged, old = newest, [folders[b] for b in touched if b in folders]
@@ -72,12 +73,20 @@ def merge_batch(spark: SparkSession, table: str, batch_id: int, buckets: int = B
         before = spark.read.schema(newest.schema).option("basePath", path).parquet(*[f"{path}/{folder}" for folder in old])
         merged = before.join(newest.select("log_id"), "log_id", "left_anti").select(newest.columns).unionByName(newest)
     if touched:
-        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
     folders |= {b: f"batch={batch_id}/bucket={b}" for b in touched}
     rows = spark.createDataFrame(list(folders.items()), "bucket int, folder string")
     commit(spark, path, f"manifest_{batch_id}", lambda staging: rows.coalesce(1).write.parquet(staging))
 
 
+def _newest(batch: DataFrame) -> DataFrame:
+    """The newest row of every log_id; only ids, and rows of ids that come again, are shuffled."""
+    again = cut(batch.groupBy("log_id").count().filter("count > 1").select(F.col("log_id").alias("again")))
+    same = F.col("log_id").eqNullSafe(F.col("again"))
+    repeated = latest_by_key(batch.join(again, same, "left_semi"), "log_id", ["timestamp"])
+    return batch.join(again, same, "left_anti").unionByName(repeated)
+
+
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
     """The newest row of every log_id over all batches: the resolved rows, nothing else is opened."""
     folders = _manifest(spark, table)
