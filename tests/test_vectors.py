@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests import brute
 from tracesieve.operators import dedup, density, embedding, sampling, scoring, vectors
@@ -139,6 +140,51 @@ def test_blocks_are_bounded_and_pivots_grow(spark):
     assert got.count() == 200 and got.filter("value > 0").count() == 0
 
 
+def test_every_cluster_has_a_pivot(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    centre = np.repeat(np.eye(16), 25, axis=0)  # sixteen clusters, two pivots by chance
+    x = centre + rng.normal(size=centre.shape) * 0.01
+    rows = frame(spark, x)
+    grid = vectors.build_grid(rows)
+    assert max(grid.high) < 0.5
+    planned = vectors.plan_visits(rows, grid, Want(not_self=True)).collect()
+    assert {len(r.visit) for r in planned} <= {1, 2, 3}
+    dots = np.einsum("id,jd->ij", x, x)
+    square = np.diag(dots)[:, None] + np.diag(dots) - 2 * dots + np.diag(np.full(len(x), np.inf))
+    got = {int(r.qid): int(r.bid) for r in vectors.neighbours(rows, grid, Want(not_self=True)).collect()}
+    assert got == dict(enumerate(square.argmin(axis=1).tolist()))
+
+
+def test_few_columns_bound_the_nearest(spark):
+    key = np.random.default_rng(4).integers(0, 50, size=(20, 1500)).astype(float)
+    for k in (1, 2, 7):
+        exact, bound = np.sort(key, axis=1)[:, k - 1], vectors._kth(key, k)
+        assert (bound >= exact).all() and ((key <= bound[:, None]).sum(axis=1) >= k).all()
+    assert (vectors._kth(key, 1) == key.min(axis=1)).all() and np.isinf(vectors._kth(key, 1500)).all()
+
+
+def test_spanning_tree_within_given_bounds(spark, small_blocks):
+    x = np.random.default_rng(5).normal(size=(120, 3))
+    rows = frame(spark, x).select("id", "v")
+    points, near = density.core_distances(rows.withColumn("copies", F.lit(1)), vectors.build_grid(rows, k=5), 4)
+    core = {int(r.id): r.core for r in points.collect()}
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    reach = {(i, j): max(core[i], core[j], gap[i, j]) for i in core for j in core if i < j}
+    root, want = {i: i for i in core}, 0.0
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, j), w in sorted(reach.items(), key=lambda e: e[1]):
+        if find(i) != find(j):
+            root[find(i)], want = find(j), want + w
+    tree = density.spanning_tree(points, near, vectors.build_grid(rows)).collect()
+    assert len(tree) == len(x) - 1 and abs(sum(r.w for r in tree) - want) < 1e-9
+
+
 @pytest.mark.parametrize("block", [8192, 25])
 def test_links_equal_the_full_matrix(spark, near_copies, block, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", block)

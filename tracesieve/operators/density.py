@@ -39,8 +39,8 @@ def _fold_copies(rows: DataFrame) -> DataFrame:
     return rows.select("id", clean.alias("v")).withColumn("point", F.md5(F.to_json("v").cast("binary")))
 
 
-def core_distances(points: DataFrame, grid: Grid, min_samples: int) -> DataFrame:
-    """Weighted points (id, v, copies) with ``core`` and ``ub``, the mutual reachability of a near point."""
+def core_distances(points: DataFrame, grid: Grid, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Weighted points (id, v, copies) with ``core``, and the mutual reachability of near points (id, bid, value)."""
     wanted = min_samples + 1 - COUNT_SELF
     found = cut(neighbours(points, grid, Want(k=wanted)))
     weights = points.select(F.col("id").alias("bid"), "copies")
@@ -52,9 +52,9 @@ def core_distances(points: DataFrame, grid: Grid, min_samples: int) -> DataFrame
     near = (
         found.filter("qid <> bid").join(reached.select(F.col("id").alias("qid"), "core"), "qid")
         .join(reached.select(F.col("id").alias("bid"), F.col("core").alias("bcore")), "bid")
-        .groupBy(F.col("qid").alias("id")).agg(F.min(F.greatest("value", "core", "bcore")).alias("ub"))
+        .select(F.col("qid").alias("id"), "bid", F.greatest("value", "core", "bcore").alias("value"))
     )
-    return points.join(reached, "id").join(near, "id", "left")
+    return points.join(reached, "id"), cut(near)
 
 
 def contract(pointers: DataFrame) -> DataFrame:
@@ -76,13 +76,15 @@ def contract(pointers: DataFrame) -> DataFrame:
         current = jumped.select("grp", F.col("root").alias("to"))
 
 
-def spanning_tree(points: DataFrame, grid: Grid) -> DataFrame:
+def spanning_tree(points: DataFrame, near: DataFrame, grid: Grid) -> DataFrame:
     """Edges (a, b, w) of a minimum spanning tree of mutual reachability.
 
-    ``points``: id, v, core, ub. Equal weights are ordered by the ids of their ends,
+    ``points``: id, v, core. ``near``: some pairs (id, bid, value), of which those that leave a
+    component bound its best edge. Equal weights are ordered by the ids of their ends,
     so the tree is unique. The nearest foreign point of a point stays so until its
     component takes it in, and the next one is no nearer: a round only searches for points
-    that lost theirs and could still beat the best edge known to their component.
+    that lost theirs and could still beat the best edge known to their component, and no
+    farther than that edge.
     """
     tree = points.sparkSession.createDataFrame([], "a string, b string, w double")
     want = Want(metric="reach", other_group=True)
@@ -90,13 +92,15 @@ def spanning_tree(points: DataFrame, grid: Grid) -> DataFrame:
     component = points.select("id", F.col("id").alias("grp"))
     # the nearest foreign point known (bid, its component ``to``), or a bound from below without one
     known = points.select("id", F.lit(None).cast("string").alias("bid"), F.lit(0.0).alias("value"))
-    asks = points.select("id", "v", "core", F.col("id").alias("grp"), F.coalesce("ub", F.lit(float("inf"))).alias("ub"))
+    first = near.groupBy("id").agg(F.min("value").alias("ub"))
+    asks = points.select("id", "v", "core", F.col("id").alias("grp")).join(first, "id", "left").fillna(float("inf"), "ub")
     while True:
         labelled = grid.relabelled(component)
         found = neighbours(asks, labelled, want)
         bounds = asks.select("id", "ub")
+        # beyond the bound not every block was visited, so what was found there need not be the nearest
         answers = bounds.join(found.select(F.col("qid").alias("id"), "bid", "value"), "id", "left").select(
-            "id", "bid", F.coalesce("value", "ub").alias("value")
+            "id", F.when(F.col("value") <= F.col("ub"), F.col("bid")).alias("bid"), F.least("value", "ub").alias("value")
         )
         known = cut(known.join(asks.select("id"), "id", "left_anti").unionByName(answers))
         ends = (
@@ -112,7 +116,9 @@ def spanning_tree(points: DataFrame, grid: Grid) -> DataFrame:
             return tree
         to = component.select(F.col("id").alias("bid"), F.col("grp").alias("to"))
         state = known.join(component, "id").join(to, "bid", "left").withColumn("valid", F.coalesce(F.col("grp") != F.col("to"), F.lit(False)))
-        ub = state.filter("valid").groupBy("grp").agg(F.min("value").alias("ub"))
+        near = cut(near.join(component, "id").join(to, "bid").filter("grp <> to").select("id", "bid", "value", "grp"))
+        ub = state.filter("valid").select("grp", "value").unionByName(near.select("grp", "value")).groupBy("grp").agg(F.min("value").alias("ub"))
+        near = near.drop("grp")
         stale = state.filter("not valid").join(ub, "grp", "left").withColumn("ub", F.coalesce("ub", F.lit(float("inf"))))
         asks = cut(stale.filter("value <= ub").select("id", "grp", "ub").join(points.select("id", "v", "core"), "id"))
         # a lost point leaves its distance as a bound from below
@@ -348,8 +354,9 @@ def density_cluster(
         .withColumnRenamed("point", "id")
     )
     grid = build_grid(folded.select("id", "v"), k=neighbours_wanted + 1 - COUNT_SELF)
-    points = cut(core_distances(folded, grid, neighbours_wanted))
-    tree = spanning_tree(points, grid)
+    points, near = core_distances(folded, grid, neighbours_wanted)
+    points = cut(points)
+    tree = spanning_tree(points, near, grid)
     clusters, placed = _hierarchy(points, tree, min_cluster_size, band)
     chosen = _topmost_kept(clusters).filter(F.col("chosen").isNotNull())
     strength = clusters.select(F.col("cluster").alias("chosen"), F.col("opened").alias("top"))

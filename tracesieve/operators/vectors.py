@@ -2,10 +2,13 @@
 
 The join (``neighbours``) meets blocks of queries and blocks of base rows on a grid:
 
-* a ``Grid`` deals the base rows to pivots (about sqrt(n) / 16 of them, so their number
-  grows with the base), cuts a large cell into rings of the distance to its pivot, and a
-  large ring into parts by a hash of the id. No block has much more than ``block`` rows,
-  whatever the distribution. The driver holds the pivots and a few numbers for each block.
+* a ``Grid`` deals the base rows to pivots (about sqrt(n) / 16 by chance, so their number
+  grows with the base; beyond ``BLOCK`` rows as many again and ``FAR`` that are far from all
+  others, since the rows of a cluster without a pivot would lie in the cells of all others
+  and keep every block open), cuts a
+  large cell into rings of the distance to its pivot, and a large ring into parts by a hash
+  of the id. No block has much more than ``block`` rows, whatever the distribution. The
+  driver holds the pivots, the rows they were chosen from and a few numbers for each block.
 * a query visits the blocks that the triangle inequality leaves open: those whose smallest
   and largest distance to the pivot can be met within the query's bound (Lu, Shen, Chen,
   Ooi 2012; Das Sarma, He, Chaudhuri 2014). Queries are blocked likewise, and each pair of
@@ -35,8 +38,11 @@ from tracesieve.schemas import NOISE
 from tracesieve.session import cut
 
 BLOCK = 8192
-CHUNK = 512
+#: Query rows compared with a block at a time; their products should fit a core's cache.
+CHUNK = 64
 RINGS = 64
+#: Pivots far apart besides those for sqrt(n), and rows looked at for each of them.
+FAR, LOOKED = 16, 16
 #: Rows shuffled for the pairs of blocks, as a multiple of the rows of both sides.
 SPREAD = 4
 SLACK = 1e-6
@@ -101,7 +107,7 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
 def _codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Integers in the order of the values, shared by both arrays."""
     codes = np.unique(np.concatenate([left, right]), return_inverse=True)[1]
-    return codes[: len(left)], codes[len(left):]
+    return codes[: len(left)].astype(np.int32), codes[len(left):].astype(np.int32)
 
 
 def _exact(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -116,13 +122,33 @@ def no_rows(*columns: str) -> pd.DataFrame:
     return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
 
 
+def _kth(key: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that its ``k``-th smallest does not exceed; for ``k`` = 1 the smallest itself."""
+    n = key.shape[1]
+    if n <= k:
+        return np.full(len(key), np.inf)
+    if k == 1:
+        return key.min(axis=1)
+    # the smallest of each column of a fold are of different columns of ``key``
+    width = max(64, 16 * k)
+    if n >= 4 * width:
+        whole = n - n % width
+        least = key[:, :whole].reshape(len(key), -1, width).min(axis=1)
+        key = np.concatenate([least, key[:, whole:]], axis=1)
+    return np.partition(key, k - 1, axis=1)[:, k - 1]
+
+
 def _best(q: pd.DataFrame, b: pd.DataFrame, want: Want) -> pd.DataFrame:
     """The ``k`` best base rows of each query row of two blocks."""
     if not len(q) or not len(b):
         return no_rows("qid", "bid", "key")
     base, base_ids = _matrix(b["v"]), b["id"].to_numpy(dtype=object)
-    base_sq = np.einsum("ij,ij->i", base, base)
-    q_ids = q["id"].to_numpy(dtype=object)
+    queries, q_ids = _matrix(q["v"]), q["id"].to_numpy(dtype=object)
+    # products that need only the squares added are the squared distances
+    factors = (-base if want.metric == "cosine" else -2 * base).T
+    base_sq, q_sq = np.einsum("ij,ij->i", base, base), np.einsum("ij,ij->i", queries, queries)
+    if want.metric == "reach":
+        core_q, core_b = q["core"].to_numpy(dtype=float), b["core"].to_numpy(dtype=float)
     # ids and groups as integers, so that comparing blocks stays in numpy
     id_q, id_b = _codes(q_ids, base_ids)
     if want.other_group:
@@ -135,33 +161,27 @@ def _best(q: pd.DataFrame, b: pd.DataFrame, want: Want) -> pd.DataFrame:
     found = []
     for start in range(0, len(q), CHUNK):
         span = slice(start, start + CHUNK)
-        part, ids = q.iloc[span], q_ids[span]
-        vectors = _matrix(part["v"])
-        dots = vectors @ base.T
-        if want.metric == "cosine":
-            key, tie = np.negative(dots, out=dots), TIE
-        else:
-            # squared distances: the tie margin is far above their rounding error
-            square = np.einsum("ij,ij->i", vectors, vectors)[:, None]
-            key = np.maximum(square + base_sq - 2 * dots, 0.0)
-            tie = TIE * (1 + square.max(initial=0.0) + base_sq.max(initial=0.0))
+        vectors, ids = queries[span], q_ids[span]
+        key, tie = vectors @ factors, TIE
+        if want.metric != "cosine":
+            # the tie margin is far above the rounding error of the squares
+            key += q_sq[span, None]
+            key += base_sq
+            np.maximum(key, 0.0, out=key)
+            tie = TIE * (1 + q_sq[span].max(initial=0.0) + base_sq.max(initial=0.0))
         if want.metric == "reach":
-            cores = np.maximum(part["core"].to_numpy()[:, None], b["core"].to_numpy()[None, :])
-            key = np.maximum(key, cores ** 2)
+            np.maximum(key, core_q[span, None] ** 2, out=key)
+            np.maximum(key, core_b ** 2, out=key)
         if want.not_self:
-            key[id_q[span, None] == id_b[None, :]] = np.inf
+            key[id_q[span, None] == id_b] = np.inf
         if want.other_group:
-            key[grp_q[span, None] == grp_b[None, :]] = np.inf
+            np.copyto(key, np.inf, where=grp_q[span, None] == grp_b)
         if want.earlier:
-            key[rank_b[None, :] >= rank_q[span, None]] = np.inf
+            np.copyto(key, np.inf, where=rank_b >= rank_q[span, None])
+        limit = np.minimum(_kth(key, want.k) + tie, np.finfo(np.float64).max)
         if want.within is not None:
-            limit = -want.within if want.metric == "cosine" else want.within ** 2
-            key[key > limit + tie] = np.inf
-        if key.shape[1] <= want.k:
-            kth = np.full(len(part), np.inf)
-        else:
-            kth = key.min(axis=1) if want.k == 1 else np.partition(key, want.k - 1, axis=1)[:, want.k - 1]
-        rows, cols = np.nonzero(key <= np.minimum(kth + tie, np.finfo(np.float64).max)[:, None])
+            limit = np.minimum(limit, (-want.within if want.metric == "cosine" else want.within ** 2) + tie)
+        rows, cols = np.nonzero(key <= limit[:, None])
         if not len(rows):
             continue
         value = np.concatenate([
@@ -169,7 +189,7 @@ def _best(q: pd.DataFrame, b: pd.DataFrame, want: Want) -> pd.DataFrame:
             for i in range(0, len(rows), 65536)
         ])
         if want.metric == "reach":
-            value = np.maximum(value, cores[rows, cols])
+            value = np.maximum(value, np.maximum(core_q[span][rows], core_b[cols]))
         if want.within is not None:
             ok = value <= (-want.within if want.metric == "cosine" else want.within)
             rows, cols, value = rows[ok], cols[ok], value[ok]
@@ -245,15 +265,28 @@ class Grid:
         return replace(self, rows=self.rows.join(ids.select("id"), "id", "left_semi"), near=np.full(self.near.shape, np.inf))
 
 
+def _far_apart(rows: np.ndarray, first: int, wanted: int) -> np.ndarray:
+    """The ``first`` rows, and others until there are ``wanted``: each the farthest from all before."""
+    chosen = list(range(min(first, len(rows))))
+    away = _to_pivots(rows, rows[chosen]).min(axis=1)
+    away[chosen] = 0.0
+    while len(chosen) < wanted and away.max() > SLACK:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, _to_pivots(rows, rows[chosen[-1:]])[:, 0])
+        away[chosen[-1]] = 0.0
+    return rows[chosen]
+
+
 def build_grid(base: DataFrame, metric: str = "euclidean", block: int | None = None, k: int = 1) -> Grid:
     """Deal ``base`` (id, v and further columns) to blocks; ``k``: how many neighbours may be asked for."""
     block = block or BLOCK
     base = cut(usable(base, metric, True))
     n = base.count()
     wanted = max(1, int(np.ceil(np.sqrt(n) / 16)))
-    # about sqrt(n) / 16 vectors
-    chosen = base.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").collect()
-    pivots = np.array([r.v for r in chosen], dtype=np.float64) if chosen else np.zeros((0, 1))
+    far = wanted + FAR if n > BLOCK else 0  # of few rows all pairs are cheap
+    # at most a few times sqrt(n) vectors
+    chosen = base.orderBy(F.xxhash64("id"), "id").limit(LOOKED * (wanted + far) if far else wanted).select("v").collect()
+    pivots = _far_apart(np.array([r.v for r in chosen], dtype=np.float64), wanted, wanted + far) if chosen else np.zeros((0, 1))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
