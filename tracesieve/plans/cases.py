@@ -53,9 +53,10 @@ def build_cases(
         joined.filter("found").withColumns({"eval_type": decide_eval_type(), "difficulty": decide_difficulty()})
         .drop("found")
     )
-    ranked = cut(usable(
-        typed.select(F.col("log_id").alias("id"), F.col("value_score").alias("score")).join(vectors.select("id", "v"), "id"), "euclidean", True,
-    ))
+    scores = typed.select(F.col("log_id").alias("id"), F.col("value_score").alias("score"))
+    # vectors that a view derives are derived once, and only those asked for
+    derived = cut(vectors.select("id", "v").join(scores.select("id"), "id", "left_semi"))
+    ranked = cut(usable(scores.join(derived, "id"), "euclidean", True))
     rows = arrange(ranked, existing, threshold)
     accepted = first_decision(rows)
     labelled = _as_cases(typed.limit(0).withColumns({
