@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,34 @@ def test_few_columns_bound_the_nearest(spark):
     assert (vectors._kth(key, 1) == key.min(axis=1)).all() and np.isinf(vectors._kth(key, 1500)).all()
 
 
+def test_coarse_products_lose_no_answer():
+    rng = np.random.default_rng(8)
+    base = unit(rng.normal(size=(900, 12)))
+    base[300:340] = unit(base[300] + rng.normal(scale=1e-6, size=(40, 12)))  # closer than single precision tells
+    base[700:705] = base[300]
+    q = unit(np.concatenate([base[:330] + 1e-7, rng.normal(size=(200, 12))]))
+    exact = q @ base.T
+    spans = list(vectors._coarse(q, base, lambda span, key: None, 3, -np.inf))
+    assert [(s.start, s.stop) for s, *_ in spans] == [(0, 256), (256, 512), (512, 530)]
+    for span, rows, cols in spans:
+        wanted = exact[span] >= np.sort(exact[span], axis=1)[:, -3, None]
+        found = np.zeros(wanted.shape, dtype=bool)
+        found[rows, cols] = True
+        assert not (wanted & ~found).any() and len(rows) < 24 * len(found)
+    # a block of near-copies is left to double precision
+    same = unit(base[:1] + rng.normal(scale=1e-7, size=(300, 12)))
+    assert [rows for _, rows, _ in vectors._coarse(same, same, lambda span, key: None, 1, -np.inf)] == [None, None]
+    as_rows = lambda x, name: pd.DataFrame({"id": [f"{name}{i:04d}" for i in range(len(x))], "v": list(x)})
+    for queries, rows, want in ((q, base, Want(3, "cosine")), (same, same, Want(2, "cosine")), (q, base, Want(2, "cosine", within=0.6))):
+        got = vectors._best(as_rows(queries, "q"), as_rows(rows, "b"), want)
+        value = np.einsum("id,jd->ij", queries, rows)
+        value[value < (-1 if want.within is None else want.within)] = -np.inf
+        place = np.argsort(-value, axis=1, kind="stable")[:, : want.k]
+        hit = np.isfinite(np.take_along_axis(value, place, axis=1))
+        assert len(got) == hit.sum()
+        assert np.allclose(-got["key"], np.take_along_axis(value, place, axis=1)[hit], rtol=0, atol=1e-14)
+
+
 def test_spanning_tree_within_given_bounds(spark, small_blocks):
     x = np.random.default_rng(5).normal(size=(120, 3))
     rows = frame(spark, x).select("id", "v")
