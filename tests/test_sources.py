@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,34 @@ def test_stream_keeps_unreadable_lines_and_masks_by_default(spark, tmp_path):
     assert bad["l2"].line is None and len(bad) == 2
 
 
+def test_ingestion_stores_little(spark, tmp_path):
+    good = {f.name: None for f in LOG.fields} | {
+        "feature_name": "f", "model": "m", "system_prompt": "s", "response": "r",
+        "latency_ms": 1, "prompt_tokens": 1, "completion_tokens": 1, "timestamp": "2024-01-01T00:00:00",
+    }
+    places = [str(tmp_path / x) for x in ("in", "logs", "ckpt")]
+    (tmp_path / "in").mkdir()
+
+    def arrive(name, ids, prompt):
+        for at in range(0, len(ids), 25):
+            rows = [json.dumps(good | {"log_id": i, "prompt": prompt}) for i in ids[at : at + 25]]
+            (tmp_path / "in" / f"{name}-{at}.json").write_text("\n".join(rows))
+        ingest.ingest_stream(spark, *places, buckets=4).awaitTermination()
+
+    arrive("a", [f"l{i:03d}" for i in range(100)], "old")
+    arrive("b", [f"l{i:03d}" for i in range(50, 150)] + [None, "l060"], "new")
+    found = ingest.read_ingested(spark, places[1])
+    assert {r.log_id: r.prompt for r in found.collect()} == {f"l{i:03d}": "old" if i < 50 else "new" for i in range(150)} | {None: "new"}
+    assert found.count() == 151
+    # a small batch is one file for each bucket, however many files it came in
+    assert len(found.inputFiles()) == 4
+    # no copy of a batch stays behind, and texts are stored compressed well
+    assert not (tmp_path / "logs_staged").exists()
+    stored = [f for folder in ("logs", "logs_resolved") for f in (tmp_path / folder).glob("batch*/**/*.parquet")]
+    codecs = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in stored if pq.ParquetFile(f).metadata.num_row_groups}
+    assert codecs == {"ZSTD"}
+
+
 def test_old_layout_gains_columns(spark):
     old = spark.createDataFrame([("c1", "draft")], "case_id string, status string")
     assert tables.add_missing_columns(old, CASE).columns == [f.name for f in CASE.fields]

@@ -25,6 +25,18 @@ def _files(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a folder."""
+    folder, files = _files(spark, path)
+    return files.getContentSummary(folder).getLength()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder, files = _files(spark, path)
+    files.delete(folder, True)
+
+
 def committed(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """Numbers of the versions ``{prefix}{n}`` under ``path``, from the names of the folders."""
     folder, files = _files(spark, path)

@@ -9,12 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from tracesieve.functions.text import redact_log_fields, redact_text
 from tracesieve.operators.quality import log_errors
 from tracesieve.session import cut
-from tracesieve.sources.snapshots import commit, committed
+from tracesieve.sources.snapshots import commit, committed, discard, size_of
 from tracesieve.sources.tables import UNREADABLE, latest_by_key, parsed_lines, with_defaults
 
 
 #: Parts of the resolved rows; a batch writes anew only those that it touches.
 BUCKETS = 64
+#: Stored rows that one task merges, in bytes of their files; small batches give one file for each bucket.
+MERGE_BYTES = 64 << 20
+#: Codec of everything that is stored: texts are most of it.
+CODEC = "zstd"
 
 
 def ingest_stream(
@@ -22,8 +26,8 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Append new JSONL files of ``source`` to ``table``; start it again to resume.
 
-    Each batch overwrites its own ``batch_id`` folder, and its newest row of every log_id is
-    merged into the resolved rows of its bucket. A manifest, committed by one rename, names
+    Each batch is parsed once into a folder beside ``table`` that is dropped with the batch. It
+    overwrites its own ``batch_id`` folder, and its newest row of every log_id is merged into the resolved rows of its bucket. A manifest, committed by one rename, names
     the folder of each bucket, so a replayed batch changes nothing and readers open resolved
     rows only. Rows of a later batch replace those of earlier ones whatever their time.
     Invalid rows go to ``{table}_invalid``; ``line`` there has the text of an unreadable line.
@@ -38,11 +42,13 @@ def ingest_stream(
     checked = rows.withColumn("errors", errors).drop("readable")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()  # parsed once for both folders
-        for suffix, part in (("", batch.filter(F.size("errors") == 0).drop("errors", "line")),
-                             ("_invalid", batch.filter(F.size("errors") > 0))):
-            part.write.mode("overwrite").parquet(f"{table}{suffix}/batch_id={batch_id}")
-        batch.unpersist()
+        # parsed once for both folders; a cached batch would lie on disk as it is, not compressed
+        staged = f"{table}_staged/batch_id={batch_id}"
+        _store(batch, staged)
+        rows = spark.read.schema(batch.schema).parquet(staged)
+        _store(rows.filter(F.size("errors") == 0).drop("errors", "line"), f"{table}/batch_id={batch_id}")
+        _store(rows.filter(F.size("errors") > 0), f"{table}_invalid/batch_id={batch_id}")
+        discard(spark, f"{table}_staged")
         merge_batch(spark, table, batch_id, buckets)
 
     return (
@@ -51,6 +57,10 @@ def ingest_stream(
     )
 
 
+def _store(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").option("compression", CODEC).partitionBy(*by).parquet(path)
+
+
 def _manifest(spark: SparkSession, table: str, before: int | None = None) -> dict[int, str]:
     """Bucket and folder of the resolved rows after the last batch, or after those ``before`` a batch."""
     known = [n for n in committed(spark, f"{table}_resolved", "manifest_") if before is None or n < before]
@@ -65,15 +75,19 @@ def merge_batch(spark: SparkSession, table: str, batch_id: int, buckets: int = B
     if batch_id in committed(spark, path, "manifest_"):
         return
     batch = spark.read.parquet(f"{table}/batch_id={batch_id}")
-    newest = _newest(batch).withColumn("bucket", F.pmod(F.xxhash64("log_id"), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64("log_id"), F.lit(buckets)).cast("int")
+    newest = _newest(batch).withColumn("bucket", bucket)
     folders = _manifest(spark, table, batch_id)
-    touched = [r.bucket for r in newest.select("bucket").distinct().collect()]  # at most ``buckets`` rows
-    merged, old = newest, [folders[b] for b in touched if b in folders]
+    touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` rows
+    merged, old = newest, [f"{path}/{folders[b]}" for b in touched if b in folders]
     if old:
-        before = spark.read.schema(newest.schema).option("basePath", path).parquet(*[f"{path}/{folder}" for folder in old])
-        merged = before.join(newest.select("log_id"), "log_id", "left_anti").select(newest.columns).unionByName(newest)
+        before = spark.read.schema(newest.schema).option("basePath", path).parquet(*old)
+        # only ids are shuffled, unless more are replaced than a broadcast takes
+        replaced = cut(before.select("log_id").join(batch.select("log_id"), "log_id", "left_semi"))
+        merged = before.join(replaced, "log_id", "left_anti").select(newest.columns).unionByName(newest)
     if touched:
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+        stored = sum(size_of(spark, folder) for folder in (f"{table}/batch_id={batch_id}", *old))
+        _store(merged.coalesce(-(-stored // MERGE_BYTES)), f"{path}/batch={batch_id}", "bucket")
     folders |= {b: f"batch={batch_id}/bucket={b}" for b in touched}
     rows = spark.createDataFrame(list(folders.items()), "bucket int, folder string")
     commit(spark, path, f"manifest_{batch_id}", lambda staging: rows.coalesce(1).write.parquet(staging))
@@ -98,5 +112,5 @@ def read_ingested(spark: SparkSession, table: str) -> DataFrame:
 
 def compact(spark: SparkSession, table: str, target: str) -> None:
     """Write the resolved rows as the first batch of a new table folder."""
-    read_ingested(spark, table).write.mode("overwrite").parquet(f"{target}/batch_id=0")
+    _store(read_ingested(spark, table), f"{target}/batch_id=0")
     merge_batch(spark, target, 0)

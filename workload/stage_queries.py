@@ -216,11 +216,22 @@ def _changelog_entry(s: Source):
 select log_id, p8.t as prompt, retry_count from fx_records join p8 using (log_id) where {_DUCK_VALID}""")
 def _ingest_stream(s: Source):
     path = _scratch(s)
-    logs = _log_table(s)
-    stale = logs.withColumn("retry_count", F.lit(0)).filter(F.col("error_status").isNotNull())
-    for part in (stale, logs):
-        part.write.mode("append").json(f"{path}/in")
-        ingest.ingest_stream(s.spark, f"{path}/in", f"{path}/logs", f"{path}/ckpt", buckets=8).awaitTermination()
+
+    def lines(rows, to: str) -> None:
+        rows.write.option("compression", "gzip").json(to)
+
+    def take() -> None:
+        ingest.ingest_stream(s.spark, f"{path}/in/*", f"{path}/logs", f"{path}/ckpt", buckets=8).awaitTermination()
+
+    def arrive(staging: str) -> None:
+        # the joins of the view run once; the stale lines, which come first, are taken from the others
+        lines(_log_table(s), staging)
+        stale = s.spark.read.schema(LOG).json(staging).filter("error_status is not null")
+        lines(stale.withColumn("retry_count", F.lit(0)), f"{path}/in/stale")
+        take()
+
+    snapshots.commit(s.spark, path, "in/logs", arrive)
+    take()
     return ingest.read_ingested(s.spark, f"{path}/logs").select("log_id", "prompt", "retry_count")
 
 
