@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -410,6 +412,28 @@ def test_pairs_of_blocks_shuffle_rows_once(spark, want, monkeypatch):
     assert used or want.within is not None  # a small radius leaves few blocks
 
 
+def test_small_blocks_travel_together(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SPREAD", 0)
+    rng = np.random.default_rng(9)
+    x = unit(rng.normal(size=(300, 20)))
+    rows = frame(spark, x).select("id", "v")
+    grid = replace(vectors.build_grid(rows, "cosine", 30), block=70)
+    travel = vectors._bundles(grid)
+    held = {}
+    for name, size in zip(grid.name.tolist(), grid.size.tolist()):
+        held.setdefault(travel[name], []).append(size)
+    assert set(travel) == set(grid.name.tolist()) and max(map(len, held.values())) > 1
+    assert all(sum(sizes) <= 70 or len(sizes) == 1 for sizes in held.values())
+    planned = vectors.plan_visits(rows, grid, Want(2, "cosine"))
+    pairs = planned.select("qblock", F.explode("visit").alias("block")).distinct()
+    each = lambda q, b: pd.DataFrame({"qb": b["qb"].iloc[:1], "bb": b["bb"].iloc[:1], "q": len(q), "b": len(b)})
+    calls = {t: vectors.meet(planned, grid, each, "qb long, bb long, q long, b long", together=t).collect() for t in (False, True)}
+    # alone every pair of blocks is a call of its own; together fewer calls see as many pairs of rows
+    assert sorted((r.qb, r.bb) for r in calls[False]) == sorted(map(tuple, pairs.collect()))
+    assert len(calls[True]) < len(calls[False])
+    assert len({sum(r.q * r.b for r in found) for found in calls.values()}) == 1
+
+
 def test_head_rows_rule_out_the_rest(spark, near_copies, monkeypatch):
     monkeypatch.setattr(dedup, "HEAD", 30)
     settled = []
